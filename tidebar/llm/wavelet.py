@@ -9,13 +9,15 @@ can write to a cluster's store only through Spark.
 
 Encoding caches words: text is cut at ASCII white space only (the normaliser and the pattern of the pre-tokeniser treat the
 pieces independently), and words not yet seen are encoded together by the library and told apart by
-the tokens' offsets. Texts that hold a special token's string are encoded whole. The cache is emptied when full, which changes nothing.
+its word-ending tokens, or by the tokens' offsets. Texts that hold a special token's string are encoded whole. The cache is emptied when full, which changes nothing.
 
 Null texts count as empty and have the end id alone; equal doc_ids follow each other, by text; null ids come first.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,8 +33,12 @@ from tidebar.llm.store import cut, shuffle_partitions
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
+WORD_END = "</w>"
 STRIDE = 4096
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# As the tokenizer's file has it, for the characters above in lower case.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 _HEAD = struct.Struct("<4sIQI")  # mark, planes, tokens, documents
 
 
@@ -150,39 +156,76 @@ def unpack(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
 class WordEncoder:
     """tokenizers.Tokenizer.encode over whole texts, by distinct words."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, model: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tok = Tokenizer.from_str(model)
         self.special = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
-        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        vocab = self.tok.get_vocab()
+        self.kind = np.uint16 if len(vocab) <= 1 << 16 else np.uint32
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith(WORD_END)]] = True
         self.cache: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
 
+    def _by_ends(self, words: list[bytes], texts: list[str]) -> bool:
+        """Words of plain letters, digits and signs: each piece of the pre-tokeniser ends with one word-ending token."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, self.kind)
+        pieces = np.fromiter((len(_PIECE.findall(t.lower())) for t in texts), np.int64, len(texts))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != pieces.sum() or not len(stops) or stops[-1] != len(ids):
+            return False
+        self._learn(words, ids, np.concatenate([[0], stops[np.cumsum(pieces) - 1]]))
+        return True
+
+    def _by_offsets(self, words: list[bytes], texts: list[str]) -> None:
+        found = self.tok.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, self.kind)
+        places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        starts = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
+        self._learn(words, ids, np.searchsorted(places, starts))
+
+    def _learn(self, words: list[bytes], ids: np.ndarray, stops: np.ndarray) -> None:
+        raw, at = ids.tobytes(), (stops * ids.itemsize).tolist()
+        self.cache.update((w, raw[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of self.kind."""
         cut_up: list[list[bytes] | None] = [None if t and any(s in t for s in self.special) else (t or "").encode().split() for t in texts]
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        cache = self.cache
         new: set[bytes] = set()
         for words in cut_up:
             new.update(words or ())
-        fresh = list(new.difference(cache))
-        for low in range(0, len(fresh), 5000):
-            part = fresh[low : low + 5000]
-            texts_of = [w.decode() for w in part]
-            found = self.tok.encode(" ".join(texts_of), add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            starts = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 1 for w in texts_of), np.int64, len(part)))])
-            stops = (np.searchsorted(places, starts) * ids.itemsize).tolist()
-            raw = ids.tobytes()
-            cache.update((w, raw[a:b]) for w, a, b in zip(part, stops[:-1], stops[1:], strict=True))
-        return [self.encode(t).tobytes() if words is None else b"".join(map(cache.__getitem__, words)) for t, words in zip(texts, cut_up, strict=True)]
+        groups: dict[bool, tuple[list[bytes], list[str]]] = {True: ([], []), False: ([], [])}
+        for w in new.difference(self.cache):
+            t = w.decode()
+            group = groups[_PLAIN.fullmatch(t) is not None]
+            group[0].append(w)
+            group[1].append(t)
+        for plain, (words, decoded) in groups.items():
+            for low in range(0, len(words), 5000):
+                part = words[low : low + 5000], decoded[low : low + 5000]
+                if not plain or not self._by_ends(*part):
+                    self._by_offsets(*part)
+        find = self.cache.__getitem__
+        return [self.encode(t).tobytes() if words is None else b"".join(map(find, words)) for t, words in zip(texts, cut_up, strict=True)]
+
+
+_encoders: dict[int, WordEncoder] = {}
+
+
+def _encoder(model: str) -> WordEncoder:
+    """One a worker process, with its cache."""
+    key = zlib.crc32(model.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(model)
+    return _encoders[key]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -191,23 +234,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     model = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text())  # a file of fixed size
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack_text = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            out = [pack_text((t or "").encode()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "packed"])
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import tempfile
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        with tempfile.NamedTemporaryFile("w", suffix=".json") as file:
-            file.write(model.value)
-            file.flush()
-            encoder = WordEncoder(file.name)
+        encoder = _encoder(model.value)
         end, kind = np.array([end_id], encoder.kind).tobytes(), encoder.kind
-        loosen = zstandard.ZstdDecompressor()
         shard, block = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         held: list[bytes] = []
@@ -219,10 +248,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "n_tokens", "image"])
 
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                texts = [loosen.decompress(p, max_output_size=1 << 31).decode() if p else "" for p in batch.column(1).to_pylist()]
-                for doc_id, found in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
+            for low in range(0, whole.num_rows, 2048):
+                batch = whole.slice(low, 2048)
+                for doc_id, found in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
                     held.append(found + end)
                     size += len(held[-1]) // np.dtype(kind).itemsize
@@ -233,8 +261,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             yield image()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = chosen.mapInArrow(squeeze, "doc_id long, packed binary")
-    ranged = packed.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "packed")
+    ranged = chosen.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ranged.mapInArrow(encode, "shard int, block int, n_tokens long, image binary"), "wavelet")
 
 

@@ -7,9 +7,11 @@ a 1 bit, in order. One-counts before every 4,096th bit are made when a plane is
 counting and occurrence look-up from the one image. Images are rows of a Parquet table in the shared folder, as executors
 can write to a cluster's store only through Spark.
 
-Encoding caches words: text is cut at ASCII white space only (the normaliser and the pattern of the pre-tokeniser treat the
-pieces independently), and words not yet seen are encoded together by the library and told apart by
-its word-ending tokens, or by the tokens' offsets. Texts that hold a special token's string are encoded whole. The cache is emptied when full, which changes nothing.
+Encoding caches what the library gives for parts of texts. A text of ASCII and Latin-1 letters is cut into the pieces of the
+pre-tokeniser, and pieces not yet seen are encoded together by the library and told apart by its word-ending tokens. Other
+texts are cut at ASCII white space only (normaliser and pre-tokeniser treat such parts independently), and new words are
+told apart by the tokens' offsets. Texts that hold a special token's string are encoded whole. Caches are emptied when
+full, which changes nothing.
 
 Null texts count as empty and have the end id alone; equal doc_ids follow each other, by text; null ids come first.
 """
@@ -33,10 +35,10 @@ from tidebar.llm.store import cut, shuffle_partitions
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 WORD_END = "</w>"
 STRIDE = 4096
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 # As the tokenizer's file has it, for the characters above in lower case.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 _HEAD = struct.Struct("<4sIQI")  # mark, planes, tokens, documents
@@ -166,54 +168,63 @@ class WordEncoder:
         self.kind = np.uint16 if len(vocab) <= 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for t, k in vocab.items() if t.endswith(WORD_END)]] = True
-        self.cache: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         self.cache_words = cache_words
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _by_ends(self, words: list[bytes], texts: list[str]) -> bool:
-        """Words of plain letters, digits and signs: each piece of the pre-tokeniser ends with one word-ending token."""
-        ids = np.array(self.tok.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, self.kind)
-        pieces = np.fromiter((len(_PIECE.findall(t.lower())) for t in texts), np.int64, len(texts))
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != pieces.sum() or not len(stops) or stops[-1] != len(ids):
-            return False
-        self._learn(words, ids, np.concatenate([[0], stops[np.cumsum(pieces) - 1]]))
-        return True
-
-    def _by_offsets(self, words: list[bytes], texts: list[str]) -> None:
-        found = self.tok.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, self.kind)
-        places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        starts = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))])
-        self._learn(words, ids, np.searchsorted(places, starts))
-
-    def _learn(self, words: list[bytes], ids: np.ndarray, stops: np.ndarray) -> None:
-        raw, at = ids.tobytes(), (stops * ids.itemsize).tolist()
-        self.cache.update((w, raw[a:b]) for w, a, b in zip(words, at[:-1], at[1:], strict=True))
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """Texts of plain letters, digits and signs: each piece of the pre-tokeniser ends with one word-ending token."""
+        cut_up = [_PIECE.findall(t.lower()) for t in texts]
+        new: set[str] = set()
+        for pieces in cut_up:
+            new.update(pieces)
+        if len(self.pieces) > self.cache_words:
+            self.pieces.clear()
+        fresh = list(new.difference(self.pieces))
+        for low in range(0, len(fresh), 5000):
+            part = fresh[low : low + 5000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):  # not so with this tokenizer's file
+                self.pieces.update((p, self.encode(p).tobytes()) for p in part)
+                continue
+            raw, at = ids.tobytes(), [0, *(stops * ids.itemsize).tolist()]
+            self.pieces.update((p, raw[a:b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
+        find = self.pieces.__getitem__
+        return [b"".join(map(find, pieces)) for pieces in cut_up]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Other texts: words between ASCII white space, told apart by the tokens' offsets."""
+        cut_up = [t.encode().split() for t in texts]
+        new: set[bytes] = set()
+        for words in cut_up:
+            new.update(words)
+        if len(self.words) > self.cache_words:
+            self.words.clear()
+        fresh = list(new.difference(self.words))
+        for low in range(0, len(fresh), 5000):
+            part = [w.decode() for w in fresh[low : low + 5000]]
+            found = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            starts = np.concatenate([[0], np.cumsum(np.fromiter((len(w) + 1 for w in part), np.int64, len(part)))])
+            raw, at = ids.tobytes(), (np.searchsorted(places, starts) * ids.itemsize).tolist()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(fresh[low : low + 5000], at[:-1], at[1:], strict=True))
+        find = self.words.__getitem__
+        return [b"".join(map(find, words)) for words in cut_up]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of self.kind."""
-        cut_up: list[list[bytes] | None] = [None if t and any(s in t for s in self.special) else (t or "").encode().split() for t in texts]
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        new: set[bytes] = set()
-        for words in cut_up:
-            new.update(words or ())
-        groups: dict[bool, tuple[list[bytes], list[str]]] = {True: ([], []), False: ([], [])}
-        for w in new.difference(self.cache):
-            t = w.decode()
-            group = groups[_PLAIN.fullmatch(t) is not None]
-            group[0].append(w)
-            group[1].append(t)
-        for plain, (words, decoded) in groups.items():
-            for low in range(0, len(words), 5000):
-                part = words[low : low + 5000], decoded[low : low + 5000]
-                if not plain or not self._by_ends(*part):
-                    self._by_offsets(*part)
-        find = self.cache.__getitem__
-        return [self.encode(t).tobytes() if words is None else b"".join(map(find, words)) for t, words in zip(texts, cut_up, strict=True)]
+        kinds = [0 if not t else 3 if any(s in t for s in self.special) else 1 if _PLAIN.fullmatch(t) else 2 for t in texts]
+        out = [self.encode(t).tobytes() if k == 3 else b"" for t, k in zip(texts, kinds, strict=True)]
+        for kind, way in ((1, self._by_pieces), (2, self._by_words)):
+            at = [n for n, k in enumerate(kinds) if k == kind]
+            for n, ids in zip(at, way([texts[n] for n in at]) if at else [], strict=True):
+                out[n] = ids
+        return out
 
 
 _encoders: dict[int, WordEncoder] = {}

@@ -229,7 +229,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text_hash, n_shingles and component_id (the smallest id that links reach, its own included), a row per document."""
+    """doc_id, text_hash, n_shingles, component_id (the smallest id that links reach, its own included) and the text hash of that document, a row per document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     known = cut(sketch(docs, width, num, den), "ngram-join")
@@ -250,19 +250,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.repartition(shuffle_partitions(spark), "root", "pair").sortWithinPartitions("root", "pair", "class")
     links = roots(_verify(met, width, num, den), "ngram-join")
     drop(texts)
-    ids = known.groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = ids.join(links.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
-    out = known.drop("signs").join(named, "class")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # The first document of a component: ids before nulls, then the smallest.
+    ids = known.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    rooted = ids.join(links.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("top")), "root").select("class", "top")
+    out, own = known.drop("signs").join(named, "class"), F.col("n_shingles") == 0
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.when(own, F.col("text_hash")).otherwise(F.col("top.text_hash")).alias("component_hash"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one row of each component: that of the smallest id; of equal ids, that of the smallest text hash."""
+    """docs with one document of each component: that of the smallest id, of equal ids the smallest text hash. Rows equal in both are one document."""
     found = components(docs, id_col, text_col, width, num, den)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    gone = found.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
     keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.join(gone, (keyed[id_col] == gone["doc_id"]) & (keyed["_hash"] == gone["text_hash"]), "left_anti")
+    kept = keyed.join(gone, (keyed[id_col].cast("long").eqNullSafe(gone["_id"])) & (keyed["_hash"] == gone["_gone"]), "left_anti")
     return kept.select(*docs.columns)
 
 

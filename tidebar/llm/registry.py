@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from tidebar.llm import decontaminate, language, ngram_join, pieces, pii, quality, toxicity, wavelet
+from tidebar.llm import decontaminate, language, linededup, ngram_join, pieces, pii, quality, toxicity, wavelet
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_line_dedup": linededup.op9_line_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
 }
-ORACLES = {"op4_decontaminate": decontaminate.OP4_SQL, "op8_quality_rules": quality.OP8_SQL}
+ORACLES = {"op9_line_dedup": linededup.OP9_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_quality_rules": quality.OP8_SQL}

@@ -1,14 +1,15 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions alone.
 
 A line's set holds its distinct words `[^\\x20\\x09-\\x0D]+`; lines of fewer than `min_words` distinct words take no part
-and stay. Lines are ordered by doc_id, a hash of the text (for equal ids), and place. A line goes if an earlier line has a
+and stay. Lines are ordered by doc_id and place, then (for equal ids) by hashes. A line goes if an earlier line has a
 Jaccard similarity of at least num / den with it, removed itself or not.
 
 Equal sets meet by their hash, and only the first line of each set goes on. Words are ordered by rarity: all words are counted
 in 65,536 hash buckets (a bound, whatever the corpus), and rank of the bucket and word hash make one ascending key. By
 the prefix filter, two sets that match share a key among the first n - ceil(t n) + 1 of each. Candidates that share one must
-also pass the length filter and the positional filter (places of the shared key and what can follow it). Each line first
-meets the earliest line of each shared key; only lines that found no match there meet the other earlier ones. Jaccard is
+also pass the length filter and the positional filter (places of the shared key and what can follow it) and a
+bitmap filter (64 bits, each word flips one: sets cannot differ in more bits than words). Each line is first
+held against its earliest candidates; only lines that found no match there are held against the others. Jaccard is
 verified on the words themselves. Plans that are done are given up at once, so that Spark drops their shuffle files.
 
 Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document.
@@ -40,9 +41,13 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row per line with the size and the hash of its set. The words are made once, in what is exploded."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    made = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), F.transform(words_of(line), lambda w: F.xxhash64(w)).alias("hashes")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(made).alias("line_no", "x"))
+    whole = F.aggregate("x.hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
+    return rows.select("doc_id", "text_hash", "line_no", "x.line", F.size("x.hashes").alias("n"), F.xxhash64(whole, F.size("x.hashes")).alias("set_id"))
 
 
 def _ranks(lines: DataFrame) -> Column:
@@ -55,12 +60,12 @@ def _ranks(lines: DataFrame) -> Column:
 
 
 def _keys(words: Column, ranks: Column) -> Column:
-    return F.sort_array(F.transform(words, lambda w: F.shiftleft(F.get(ranks, _bucket(w).cast("int")), 47).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 47) - 1)))))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))))
 
 
-def _verified(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The later sets (b) of pairs (a, b) that match."""
-    texts = firsts.select("set_id", "line")
     met = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("line").alias("line_b")), "b")
     both = met.select("b", words_of(F.col("line_a")).alias("wa"), words_of(F.col("line_b")).alias("wb")).withColumn("n", F.size(F.array_intersect("wa", "wb")))
     return both.where((num + den) * F.col("n") >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct()
@@ -68,32 +73,40 @@ def _verified(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFr
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
-    lines = _lines(docs, id_col, text_col)
-    sets = lines.withColumn("set_id", F.xxhash64(F.array_sort(words_of(F.col("line"))))).where(F.size(words_of(F.col("line"))) >= min_words)
-    firsts = _cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
-    ranks = _ranks(lines)
+    sets = _sets(docs, id_col, text_col).where(F.col("n") >= min_words).drop("n")
+    firsts = _cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
+    ranks = _ranks(firsts)
     keyed = firsts.select("set_id", "first", _keys(words_of(F.col("line")), ranks).alias("keys")).withColumn("n", F.size("keys"))
     least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
-    some = keyed.select("set_id", "first", "n", F.posexplode(F.slice("keys", 1, F.col("n") - least + 1)).alias("place", "key"))
-    by_key = Window.partitionBy("key")
-    held = some.select("key", F.struct("first", "set_id", "n", "place").alias("x"))
-    held = _cut(held.select("key", "x", F.min("x").over(by_key).alias("top"), F.count("*").over(by_key).alias("m")).where("m > 1").select("key", "x", "top"), "line-keys")
-
-    def may_match(a: Column, b: Column) -> Column:
-        """Length filter and positional filter: what both can still share, at most, against what they must."""
-        must = F.floor((num * (a["n"] + b["n"]) + num + den - 1) / (num + den))
-        rest = F.least(a["n"] - a["place"], b["n"] - b["place"]) + F.least(a["place"], b["place"])
-        return (den * a["n"] >= num * b["n"]) & (den * b["n"] >= num * a["n"]) & (rest >= must)
-
-    stars = held.where((F.col("x.set_id") != F.col("top.set_id")) & may_match(F.col("top"), F.col("x"))).select(F.col("top.set_id").alias("a"), F.col("x.set_id").alias("b")).distinct()
-    found = _cut(_verified(stars, firsts, num, den), "line-found")
-    open_ = held.where(F.col("x.set_id") != F.col("top.set_id")).select("key", "top", F.col("x").alias("later"), F.col("x.set_id").alias("set_id")).join(found, "set_id", "left_anti").drop("set_id")
-    met = open_.join(held.select("key", F.col("x").alias("earlier")), "key").where((F.col("earlier.first") < F.col("later.first")) & (F.col("earlier.set_id") != F.col("top.set_id")) & may_match(F.col("earlier"), F.col("later")))
-    more = _verified(met.select(F.col("earlier.set_id").alias("a"), F.col("later.set_id").alias("b")).distinct(), firsts, num, den)
+    # Every word flips one of 64 bits: sets that differ in d words differ in at most d bits.
+    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    some = keyed.select("set_id", "first", "n", bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), F.col("n") - least + 1)).alias("place", "key"))
+    lone = F.lit(-(1 << 63)).cast("long")
+    held = _cut(some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits"), "line-keys")
+    early, late = held.alias("a"), held.alias("b")
+
+    def col(side: str, name: str) -> Column:
+        return F.col(f"{side}.{name}")
+
+    must = F.floor((num * (col("a", "n") + col("b", "n")) + num + den - 1) / (num + den))
+    # Both can share no more than what follows the key and what stands before it.
+    rest = F.least(col("a", "n") - col("a", "place"), col("b", "n") - col("b", "place")) + F.least(col("a", "place"), col("b", "place"))
+    same_doc, same_line = col("a", "doc") == col("b", "doc"), col("a", "line_no") == col("b", "line_no")
+    before = (col("a", "doc") < col("b", "doc")) | (same_doc & (col("a", "line_no") < col("b", "line_no"))) | (same_doc & same_line & (col("a", "set_id") < col("b", "set_id")))
+    sized = (den * col("a", "n") >= num * col("b", "n")) & (den * col("b", "n") >= num * col("a", "n"))
+    near = F.bit_count(col("a", "bits").bitwiseXOR(col("b", "bits"))) <= col("a", "n") + col("b", "n") - 2 * must
+    met = early.join(late, (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must))
+    pairs = met.groupBy(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).agg(F.min(col("a", "doc")).alias("doc"))
+    pairs = _cut(pairs, "line-pairs")
+    pairs = pairs.join(pairs.groupBy("b").agg(F.min("doc").alias("least")), "b").select("a", "b", (F.col("doc") == F.col("least")).alias("star"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    texts = _cut(firsts.select("set_id", "line").join(wanted, "set_id", "left_semi"), "line-texts")
+    found = _cut(_verified(pairs.where("star").drop("star"), texts, num, den), "line-found")
+    more = _verified(pairs.where("not star").drop("star").join(found.withColumnRenamed("set_id", "b"), "b", "left_anti"), texts, num, den)
     gone_sets = _cut(found.unionByName(more).distinct(), "line-found").withColumn("whole", F.lit(True))
     # Of a set that matched an earlier one all lines go, of any other all but the first.
     judged = firsts.join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
-    gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "text_hash", "line_no").eqNullSafe(F.col("first")))
+    gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
+from tidebar.plans import bars_and_features, research
+
+_PARTS = (bars_and_features, research)
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}

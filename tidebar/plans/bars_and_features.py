@@ -62,11 +62,11 @@ def price_blocks(spark, d):
 
 
 @query(f"""WITH {q.bars()}, {q.base()} SELECT symbol, time, {q.FLAGS}, {q.flag('close > pc', 'close_above_prev_close')}, {q.flag('close < pc', 'close_below_prev_close')}, {q.flag('high > ph', 'high_above_prev_high')}, {q.flag('low < pl', 'low_below_prev_low')},
-{q.flag('high <= ph AND low >= pl', 'inside_previous_range')}, {q.flag('high > ph AND low < pl', 'outside_previous_range')}, {q.flag('high - low > ph - pl', 'range_expansion_vs_prev')}, round((high - low) / (ph - pl + 1e-9), 4) AS range_expansion_ratio,
+{q.flag('high <= ph AND low >= pl', 'inside_previous_range')}, {q.flag('high > ph AND low < pl', 'outside_previous_range')}, {q.flag('high - low > ph - pl', 'range_expansion_vs_prev')}, round(CASE WHEN ph > pl THEN (high - low) / (ph - pl + 1e-9) END, 4) AS range_expansion_ratio,
 round((close - ph) / (atr + 1e-9), 6) AS dist_prev_high_atr, round((close - pl) / (atr + 1e-9), 6) AS dist_prev_low_atr, round(CASE WHEN close > ph THEN (close - ph) / (atr + 1e-9) ELSE 0 END, 6) AS breakout_up_distance_atr, round(CASE WHEN close < pl THEN (pl - close) / (atr + 1e-9) ELSE 0 END, 6) AS breakout_down_distance_atr FROM b""")
 def bar_flags(spark, d):
-    out = features.bar_flags(base(spark, d)).drop("open", "high", "low", "close", "volume", "po", "ph", "pl", "pc", "row_idx", "tr", "atr")
-    return rounded(out.withColumn("range_expansion_ratio", F.round("range_expansion_ratio", 4)))
+    out = features.bar_flags(base(spark, d)).withColumn("range_expansion_ratio", F.round(F.when(c("ph") > c("pl"), c("range_expansion_ratio")), 4))
+    return rounded(out.drop("open", "high", "low", "close", "volume", "po", "ph", "pl", "pc", "row_idx", "tr", "atr"))
 
 
 @query(f"""WITH {q.bars()}, {q.base()}, s AS (SELECT *, lag(open, 2) OVER {q.W} AS o2, lag(close, 2) OVER {q.W} AS c2, high - low AS rng, abs(close - open) AS body, high - greatest(open, close) AS uw, least(open, close) - low AS lw,

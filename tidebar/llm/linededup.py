@@ -10,7 +10,7 @@ the prefix filter, two sets that match share a key among the first n - ceil(t n)
 also pass the length filter and the positional filter (places of the shared key and what can follow it) and a
 bitmap filter (64 bits, each word flips one: sets cannot differ in more bits than words). Each line is first
 held against its earliest candidates; only lines that found no match there are held against the others. Jaccard is
-verified on the words themselves. Plans that are done are given up at once, so that Spark drops their shuffle files.
+verified on the 64-bit hashes of the words.
 
 Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidebar.llm.store import cut
+from tidebar.llm.store import cut, drop
 
 BUCKETS = 1 << 16
 MIN_WORDS = 5
@@ -35,12 +35,6 @@ def _bucket(word: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(word), 48)
 
 
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    out = cut(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffles of plans that are done
-    return out
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per line with the size and the hash of its set. The words are made once, in what is exploded."""
     text = F.col(text_col).cast("string")
@@ -66,23 +60,24 @@ def _keys(words: Column, ranks: Column) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The later sets (b) of pairs (a, b) that match."""
-    met = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("line").alias("line_b")), "b")
-    both = met.select("b", words_of(F.col("line_a")).alias("wa"), words_of(F.col("line_b")).alias("wb")).withColumn("n", F.size(F.array_intersect("wa", "wb")))
-    return both.where((num + den) * F.col("n") >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct()
+    met = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
+    n = F.size(F.array_intersect("wa", "wb"))
+    return met.where((num + den) * n >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
     sets = _sets(docs, id_col, text_col).where(F.col("n") >= min_words).drop("n")
-    firsts = _cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
+    firsts = cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
     ranks = _ranks(firsts)
-    keyed = firsts.select("set_id", "first", _keys(words_of(F.col("line")), ranks).alias("keys")).withColumn("n", F.size("keys"))
+    # Exploded from an array of one, so that the keys are made once and the long constant stands in the plan once.
+    keyed = firsts.select("set_id", "first", F.explode(F.array(_keys(words_of(F.col("line")), ranks))).alias("keys")).withColumn("n", F.size("keys"))
     least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
     # Every word flips one of 64 bits: sets that differ in d words differ in at most d bits.
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     some = keyed.select("set_id", "first", "n", bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), F.col("n") - least + 1)).alias("place", "key"))
     lone = F.lit(-(1 << 63)).cast("long")
-    held = _cut(some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits"), "line-keys")
+    held = cut(some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits"), "line-keys")
     early, late = held.alias("a"), held.alias("b")
 
     def col(side: str, name: str) -> Column:
@@ -97,22 +92,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = F.bit_count(col("a", "bits").bitwiseXOR(col("b", "bits"))) <= col("a", "n") + col("b", "n") - 2 * must
     met = early.join(late, (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must))
     pairs = met.groupBy(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).agg(F.min(col("a", "doc")).alias("doc"))
-    pairs = _cut(pairs, "line-pairs")
+    pairs_table = pairs = cut(pairs, "line-pairs")
     pairs = pairs.join(pairs.groupBy("b").agg(F.min("doc").alias("least")), "b").select("a", "b", (F.col("doc") == F.col("least")).alias("star"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    texts = _cut(firsts.select("set_id", "line").join(wanted, "set_id", "left_semi"), "line-texts")
-    found = _cut(_verified(pairs.where("star").drop("star"), texts, num, den), "line-found")
+    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
+    texts = cut(firsts.select("set_id", hashes.alias("words")).join(wanted, "set_id", "left_semi"), "line-texts")
+    found = cut(_verified(pairs.where("star").drop("star"), texts, num, den), "line-found")
     more = _verified(pairs.where("not star").drop("star").join(found.withColumnRenamed("set_id", "b"), "b", "left_anti"), texts, num, den)
-    gone_sets = _cut(found.unionByName(more).distinct(), "line-found").withColumn("whole", F.lit(True))
+    late = cut(found.unionByName(more).distinct(), "line-found")
+    gone_sets = late.withColumn("whole", F.lit(True))
     # Of a set that matched an earlier one all lines go, of any other all but the first.
     judged = firsts.join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
     gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    gone = cut(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
+    drop(firsts, held, pairs_table, texts, found, late)
+    return gone
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, all of them, with their texts without the lines that go."""
-    gone = _cut(removed_lines(docs, id_col, text_col, **how), "line-gone").withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+    gone = removed_lines(docs, id_col, text_col, **how).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     keyed = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
     met = keyed.join(gone, keyed[id_col].cast("long").eqNullSafe(gone["_id"]) & (keyed["_own"] == gone["_hash"]), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains("gone", k))

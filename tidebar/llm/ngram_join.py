@@ -40,7 +40,7 @@ from tidebar.llm.store import cut, drop, shuffle_partitions
 
 BAND = 0.7
 RARE = 1e-5
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -237,6 +237,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = signs.groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     hung = signs.join(shared.select("sign", "low"), "sign").where("class <> low").select(F.col("class").alias("u"), F.col("low").alias("v"))
     clusters = roots(hung, "ngram-join")
+    signed, known = known, cut(known.drop("signs"), "ngram-join")
+    drop(signed)
     member = clusters.select("root", F.col("node").alias("class")).unionByName(clusters.select("root", F.col("root").alias("class")).distinct())
     one = known.where("class <> 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     wanted = member.join(one, "class").select("root", "class", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))
@@ -249,18 +251,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.select("root", (F.least("block", "other").cast("long") * F.col("n") + F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).cast("int").alias("side"), "class", "packed")
     met = met.repartition(shuffle_partitions(spark), "root", "pair").sortWithinPartitions("root", "pair", "class")
     links = roots(_verify(met, width, num, den), "ngram-join")
-    drop(texts)
+    drop(texts, clusters)
     # The first document of a component: ids before nulls, then the smallest.
     ids = known.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     rooted = ids.join(links.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("top")), "root").select("class", "top")
-    out, own = known.drop("signs").join(named, "class"), F.col("n_shingles") == 0
+    out, own = known.join(named, "class"), F.col("n_shingles") == 0
     return out.select("doc_id", "text_hash", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("component_id"), F.when(own, F.col("text_hash")).otherwise(F.col("top.text_hash")).alias("component_hash"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs with one document of each component: that of the smallest id, of equal ids the smallest text hash. Rows equal in both are one document."""
-    found = components(docs, id_col, text_col, width, num, den)
+    found = cut(components(docs, id_col, text_col, width, num, den), "ngram-join")
     same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
     gone = found.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
     keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
@@ -270,4 +272,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return components(docs, width=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+    return components(docs, width=3, num=90, den=100, block_bytes=1 << 20).select("doc_id", "n_shingles", "component_id")

@@ -27,18 +27,20 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it again, so that nothing later computes it anew."""
+    """Write df once and read it again, so that nothing later computes it anew. Shuffle files of plans that are done go."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's context cleaner drops the shuffles of plans without references
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table that cut() wrote and that nothing reads any more."""
-    jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(hadoop).delete(target, True)
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(hadoop).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

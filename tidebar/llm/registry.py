@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from tidebar.llm import decontaminate, language, linededup, ngram_join, pieces, pii, quality, toxicity, wavelet
+from tidebar.llm import decontaminate, language, linededup, ngram_join, pieces, pii, quality, suffixes, toxicity, wavelet
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_language": language.op2_language,
     "op3_wavelet": wavelet.op3_wavelet,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pieces": pieces.op7_pieces,
     "op8_quality_rules": quality.op8_quality_rules,

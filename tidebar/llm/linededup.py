@@ -93,10 +93,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = early.join(late, (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must))
     pairs = met.groupBy(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).agg(F.min(col("a", "doc")).alias("doc"))
     pairs_table = pairs = cut(pairs, "line-pairs")
+    drop(held)
     pairs = pairs.join(pairs.groupBy("b").agg(F.min("doc").alias("least")), "b").select("a", "b", (F.col("doc") == F.col("least")).alias("star"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
     texts = cut(firsts.select("set_id", hashes.alias("words")).join(wanted, "set_id", "left_semi"), "line-texts")
+    whole, firsts = firsts, cut(firsts.drop("line"), "line-sets")
+    drop(whole)
     found = cut(_verified(pairs.where("star").drop("star"), texts, num, den), "line-found")
     more = _verified(pairs.where("not star").drop("star").join(found.withColumnRenamed("set_id", "b"), "b", "left_anti"), texts, num, den)
     late = cut(found.unionByName(more).distinct(), "line-found")
@@ -105,7 +108,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = firsts.join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
     gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
     gone = cut(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    drop(firsts, held, pairs_table, texts, found, late)
+    drop(firsts, pairs_table, texts, found, late)
     return gone
 
 

@@ -152,11 +152,15 @@ def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 def _forest(sets: list[np.ndarray], side: list[int], nodes: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links. side: 0 or 1 of each set's block; only pairs over both are new if there are two."""
     sizes = np.array([len(s) for s in sets])
-    grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
-    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-    lengths = np.diff(np.concatenate([starts, [len(grams)]]))
+    keys, frequency = np.unique(np.concatenate(sets), return_counts=True)
+    slots = [np.searchsorted(keys, s) for s in sets]
+    # Prefix filter: linked sets share one of the shingles that are rarest here, of each the first n - ceil(t n) + 1.
+    heads = [k[np.lexsort((k, frequency[k]))[: len(k) + (-num * len(k)) // den + 1]] for k in slots]
+    place = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    flat = np.concatenate(heads)
+    order = np.argsort(flat, kind="stable")
+    owner = place[order]
+    begin = np.searchsorted(flat[order], np.arange(len(keys) + 1))
     parent = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -165,24 +169,37 @@ def _forest(sets: list[np.ndarray], side: list[int], nodes: list[int], num: int,
             x = parent[x]
         return x
 
-    keys, two, out = grams[starts], len(set(side)) > 1, []
-    sides = np.array(side)
-    for i, s in enumerate(sets):
-        slot = np.searchsorted(keys, s)
-        n = lengths[slot]
-        if n.sum() == len(s):
+    two, out, sides = len(set(side)) > 1, [], np.array(side)
+    table = None
+    for i in range(len(sets)):
+        low, n = begin[heads[i]], begin[heads[i] + 1] - begin[heads[i]]
+        if n.sum() == len(heads[i]):
             continue
-        base = np.repeat(starts[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        common = np.bincount(owner[base + np.arange(n.sum())], minlength=len(sets))
-        linked = den * common >= num * (sizes + sizes[i] - common)
-        linked[: i + 1] = False
+        others = np.unique(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        others = others[others > i]
+        others = others[(den * sizes[others] >= num * sizes[i]) & (num * sizes[others] <= den * sizes[i])]
         if two:
-            linked &= sides != side[i]
-        for k in np.flatnonzero(linked).tolist():
-            a, b = find(i), find(k)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((nodes[i], nodes[k]))
+            others = others[sides[others] != side[i]]
+        if len(others) > 100:  # a dense group: count all at once
+            if table is None:
+                table = np.argsort(np.concatenate(slots), kind="stable")
+                table = np.repeat(np.arange(len(sets)), sizes)[table], np.concatenate([[0], np.cumsum(frequency)])
+            low, n = table[1][slots[i]], frequency[slots[i]]
+            common = np.bincount(table[0][np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))[others]
+            others = others[den * common >= num * (sizes[others] + sizes[i] - common)]
+        root = find(i)
+        for k in others.tolist():
+            other = find(k)
+            if other == root:
+                continue
+            if table is None or len(others) <= 100:
+                at = np.minimum(np.searchsorted(slots[i], slots[k]), len(slots[i]) - 1)
+                common_k = int(np.count_nonzero(slots[i][at] == slots[k]))
+                if den * common_k < num * (int(sizes[i] + sizes[k]) - common_k):
+                    continue
+            parent[max(root, other)] = min(root, other)
+            root = min(root, other)
+            out.append((nodes[i], nodes[k]))
     return out
 
 

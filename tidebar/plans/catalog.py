@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidebar.plans import bars_and_features, research
+from tidebar.plans import bars_and_features, paths, research
 
-_PARTS = (bars_and_features, research)
+_PARTS = (bars_and_features, research, paths)
 
 
 def queries() -> dict[str, Callable]:

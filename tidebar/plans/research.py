@@ -103,7 +103,7 @@ def triple_barrier(spark, d):
     return rounded(touch.triple_barrier(base(spark, d)).select("symbol", "time", "tb_exit_type", c("tb_exit_idx").cast("long").alias("tb_exit_idx"), "tb_r_atr", "tb_y"))
 
 
-@query(f"""WITH {q.bars('4 hours')}, {q.base()}, {q.bars('15 minutes', 'm15')}, t AS ({q.touch('atr', '0.5 * atr', 6, 'sign(close - open)')}), a AS (SELECT b.*, b.time + INTERVAL '4 hours' AS t0, b.time + INTERVAL '28 hours' AS t1, sign(close - open) AS s FROM b JOIN t USING (symbol, time) WHERE label = 'AMBIGUOUS' AND atr > 0),
+@query(f"""WITH {q.bars('4 hours')}, {q.base()}, {q.bars('15 minutes', 'm15')}, t AS ({q.touch('atr', '0.5 * atr', 6, 'sign(close - open)')}), a AS (SELECT b.*, b.time + INTERVAL '4 hours' AS t0, b.time + INTERVAL '28 hours' AS t1, sign(close - open) AS s FROM b JOIN t USING (symbol, time) WHERE label = 'AMBIGUOUS' AND atr > 0 AND close <> open),
 h AS (SELECT a.symbol, a.time, n.time AS k, CASE WHEN s > 0 THEN n.high >= a.close + s * atr ELSE n.low <= a.close + s * atr END AS won, CASE WHEN s > 0 THEN n.low <= a.close - s * 0.5 * atr ELSE n.high >= a.close - s * 0.5 * atr END AS lost FROM a JOIN m15 n ON n.symbol = a.symbol AND n.time >= t0 AND n.time < t1)
 SELECT symbol, time, arg_min(CASE WHEN won AND lost THEN 'AMBIGUOUS' WHEN won THEN 'TP_FIRST' ELSE 'SL_FIRST' END, k) AS resolved FROM h WHERE won OR lost GROUP BY 1, 2""")
 def ambiguity_cascade(spark, d):

@@ -123,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(fold_of(F.col(id_col)) != 0).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)  # at most 20,000 numbers
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    # Copies would lend their words too much weight: of texts with the same three smallest word hashes one is taken.
-    sketch = F.slice(F.array_sort(F.transform(F.array_distinct(F.split("text", r"\s+")), lambda w: F.xxhash64(w))), 1, 3)
+    # Copies would lend their words too much weight: of texts with the same three smallest hashes of word triples one is taken.
+    words = F.split("text", r"\s+")
+    sketch = F.slice(F.array_sort(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))), 1, 3)
     rows = cut(rows.join(F.broadcast(known), "_id").withColumn("sketch", sketch).dropDuplicates(["sketch"]).drop("sketch"), "toxicity")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)

@@ -11,8 +11,8 @@ Segments. In a band the universe of hashes is dealt to m segments, j of which al
 neighbourhoods. A segment that differs costs one of the U differences, or two in a neighbourhood segment, so with
 m + j >= U + 1 a linked pair shares a signature. The allocation (m, j) takes the fewest signatures for the band among those
 that leave hardly a set with an empty segment, as that would be a very common signature: small bands get few segments
-with neighbourhoods, large ones m = U + 2 without. In the latter a linked pair shares two segments, so an empty one need
-not sign; a set with two or more signs the pairs of its empty segments.
+with neighbourhoods, large ones m = U + 1 + x without. In the latter a linked pair shares x + 1 segments, so x empty ones
+need not sign; the few sets with more empty segments sign that they have, once a band.
 
 Verification. Each class with a shared signature hangs on the smallest class of that signature; the components of these
 hangings are candidate clusters, which hold all links. A cluster's texts meet in blocks of about `block_bytes`, one task a
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from tidebar.llm.store import cut, drop, shuffle_partitions
 
 BAND = 0.7
 RARE = 1e-5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -66,20 +66,24 @@ class Plan:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.lows: list[int] = [1]
-        self.allocations: list[tuple[int, int, bool]] = []
+        self.allocations: list[tuple[int, int, int]] = []
 
-    def _allocate(self, low: int, high: int) -> tuple[int, int, bool]:
-        """(segments, how many of them with neighbourhoods, whether empty segments stay silent)."""
+    def _allocate(self, low: int, high: int) -> tuple[int, int, int]:
+        """(segments, how many of them with neighbourhoods, how many empty segments a set may have without signing them)."""
         most = (high + self.den * high // self.num) * (self.den - self.num) // (self.den + self.num)
         if not most:
-            return 1, 0, False
+            return 1, 0, 0
         choices = []
         for j in range(most // 2 + 2):
             m = max(j, most + 1 - j)
             empty = m * (1 - 1 / m) ** low
-            choices.append((empty > RARE, m - j + j * (high / m + 1), m, j, False))
-        m = most + 2
-        choices.append(((m * (1 - 1 / m) ** low) ** 2 / 2 > RARE, m, m, 0, True))
+            choices.append((empty > RARE, m - j + j * (high / m + 1), m, j, 0))
+        for silent in range(1, 16):
+            m = most + 1 + silent
+            empty = m * (1 - 1 / m) ** low
+            # About the chance of more than `silent` empty segments, if they come independently.
+            chance = exp((silent + 1) * log(empty) - lgamma(silent + 2)) if empty < silent + 1 else 1.0
+            choices.append((chance > RARE, m, m, 0, silent))
         return min(choices)[2:]
 
     def band(self, size: int) -> int:
@@ -108,9 +112,8 @@ class Plan:
             if silent:
                 out.append(signs[full])
                 empty = np.flatnonzero(~full)
-                if len(empty) > 1:
-                    pairs = np.array(list(combinations(empty.tolist(), 2)), np.uint64)
-                    out.append(tv.mix(tag[m] ^ (pairs[:, 0] * np.uint64(m) + pairs[:, 1] + np.uint64(1 << 40))))
+                if len(empty) > silent:
+                    out.append(tv.mix(tag[m:] ^ np.uint64(1 << 40)))
             else:
                 out.append(signs)
             if j:

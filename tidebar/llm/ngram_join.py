@@ -40,7 +40,7 @@ from tidebar.llm.store import cut, drop, shuffle_partitions
 
 BAND = 0.7
 RARE = 1e-5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:

@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     # Copies would lend their words too much weight: of texts with the same three smallest hashes of word triples one is taken.
     words = F.split("text", r"\s+")
-    sketch = F.slice(F.array_sort(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))), 1, 3)
+    sketch = F.slice(F.array_sort(F.transform(F.arrays_zip(words, F.slice(words, F.lit(2), F.size(words)), F.slice(words, F.lit(3), F.size(words))), lambda x: F.xxhash64(x))), 1, 3)
     rows = cut(rows.join(F.broadcast(known), "_id").withColumn("sketch", sketch).dropDuplicates(["sketch"]).drop("sketch"), "toxicity")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)

@@ -55,6 +55,18 @@ def test_weak_supervision_adds_spans(spark):
     assert out[99]["found"] == out[100]["found"] == []
 
 
+def test_wide_candidates_anywhere_in_a_run():
+    def found(text, kind):
+        return [text[s:e] for k, s, e, _, base in pii.candidates(text)[1] if k == pii.KINDS.index(kind) and not base]
+
+    assert found("call 1-800-555-0134 or 1 (212) 555-0134", "phone") == ["1-800-555-0134", "1 (212) 555-0134"]
+    assert found("212-555-0134 646-555-0199 (718) 555-0100", "phone") == ["212-555-0134", "646-555-0199", "(718) 555-0100"]
+    assert found("123-45-6789 234-56-7890 1234-56-7890", "ssn") == ["123-45-6789", "234-56-7890"]
+    assert found("since 1999. 12 Oak Street and 7 8 Elm Road", "address") == ["12 Oak Street", "8 Elm Road"]
+    text = "ann [at] site [dot] com or bob [at] shop [dot] org" + " x" * 200 + " eve at mail dot site dot net and joe (at) a (dot) io"
+    assert found(text, "email") == ["ann [at] site [dot] com", "bob [at] shop [dot] org", "eve at mail dot site dot net", "joe (at) a (dot) io"]
+
+
 def test_language_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = language.op2_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()

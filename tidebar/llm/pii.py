@@ -51,8 +51,8 @@ _DIGITS = re.compile(r"[0-9][0-9 .()-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_NATIONAL = re.compile(r"(?:00[ .-]?[1-9][0-9]{0,2}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_NATIONAL = re.compile(r"(?<![0-9])(?:00[ .-]?[1-9][0-9]{0,2}[ .-]|1[ .-])?(\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])")
+_SSN = re.compile(r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ADDRESS = re.compile(r"[0-9]{1,5} (?:[A-Z][a-z]+ ){1,2}([A-Z][a-z]+)\b")
 _SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?(\[at\]|\(at\)|\{at\}| at ) ?([A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z0-9-]+)*) ?(\[dot\]|\(dot\)|\{dot\}| dot ) ?([A-Za-z]{2,10})\b", re.I)
@@ -110,29 +110,41 @@ def base_spans(text: str, chunks: list[tuple[int, int]]) -> dict[str, list[tuple
     return out
 
 
+def _near_dots(text: str) -> Iterator[tuple[int, int]]:
+    """Where spelled-out addresses can stand: from 160 characters before each 'dot' to 12 after it, as one where they overlap."""
+    low, high = 0, -1
+    for d in _DOT.finditer(text):
+        if d.start() - 160 > high:
+            if high >= 0:
+                yield low, high
+            low = max(0, d.start() - 160)
+        high = min(len(text), d.end() + 12)
+    if high >= 0:
+        yield low, high
+
+
 def _wide(text: str, chunks: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, int, int]]:
     """Candidates besides the base ones: kind, start, end, and the votes of the strict pattern and the gazetteer."""
     for low, high in chunks:
         begin = low - 1 if low and text[low - 1] == "(" else low
         if high - low >= 9:
-            m = _SSN.match(text, low)
-            if m:
+            for m in _SSN.finditer(text, low, high):
                 area, group, serial = m[0].split("-")
                 yield "ssn", *m.span(), 1, 1 if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" else -1
-            m = _NATIONAL.match(text, begin)
-            if m:
-                digits = re.sub("[^0-9]", "", m[0])[-10:]
-                yield "phone", *m.span(), 1 if "(" in m[0] or m[0].count("-") == 2 or m[0].count(".") == 2 else 0, 1 if digits[0] in "23456789" and digits[3] in "23456789" else -1
-        m = _ADDRESS.match(text, low)
+            for m in _NATIONAL.finditer(text, begin, high):
+                digits = re.sub("[^0-9]", "", m[1])
+                yield "phone", *m.span(), 1 if "(" in m[1] or m[1].count("-") == 2 or m[1].count(".") == 2 else 0, 1 if digits[0] in "23456789" and digits[3] in "23456789" else -1
+        # Only the last number of a run has a word after it.
+        head = text[low : high - 1]
+        m = _ADDRESS.match(text, low + len(head.rstrip("0123456789"))) if text[high - 1] == " " else None
         if m:
             yield "address", *m.span(), 0, 1 if m[1].lower() in STREET_WORDS else -1
         if low >= 2 and text[low - 2 : low].isupper():
             m = _IBAN.match(text, low - 2)
             if m:
                 yield "iban", *m.span(), 1, 1 if _iban_ok(m[0]) else -1
-    for d in _DOT.finditer(text) if "dot" in text or "DOT" in text or "Dot" in text else ():
-        m = _SPELLED.search(text, max(0, d.start() - 160), min(len(text), d.end() + 12))
-        if m:
+    for low, high in _near_dots(text) if "dot" in text or "DOT" in text or "Dot" in text else ():
+        for m in _SPELLED.finditer(text, low, high):
             strict = (m[2].strip()[0] in "[({") + (m[4].strip()[0] in "[({")
             yield "email", *m.span(), 1 if strict else 0, 1 if m[5].lower() in ENDINGS else -1
     for mark, pattern in (("Mr", _TITLED), ("Ms", _TITLED), ("Dr", _TITLED), ("Prof", _TITLED), ("ame", _NAMED), ("Dear", _NAMED), ("gards,", _NAMED), ("cerely,", _NAMED)):

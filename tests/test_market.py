@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from tidebar.operators import asof, features, sequential, touch
-from tidebar.plans import catalog
+from tidebar.plans import catalog, paths, research
 from tidebar.sources import bars as src
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,6 +66,26 @@ def test_thinning_keeps_gaps(spark):
     assert sorted(r["row_idx"] for r in sequential.thin(events, 6).collect()) == [1, 8, 20]
 
 
+def test_thinning_is_by_side_and_keeps_events_at_the_gap(spark):
+    rows = [("A", s, k) for s, ks in (("UP", (1, 3, 7, 12, 13)), ("DOWN", (2, 7, 8, 14))) for k in ks]
+    got = sequential.thin(spark.createDataFrame(rows, "symbol string, break_side string, row_idx int"), 6, ("symbol", "break_side")).collect()
+    assert sorted((r["break_side"], r["row_idx"]) for r in got) == [("DOWN", 2), ("DOWN", 8), ("DOWN", 14), ("UP", 1), ("UP", 7), ("UP", 13)]
+
+
+def test_independent_events_equal_the_plain_rule(spark):
+    want = set()
+    for h in paths.HORIZONS:
+        events = sorted((r["row_idx"], r["symbol"], r["break_side"], r["previous_color"]) for r in research._dna(spark, SMALL, h).collect())
+        last = {}
+        for k, symbol, side, color in events:
+            for scope, key in (("SIDE", (symbol, side)), ("KEYS", (symbol, side, color))):
+                if (scope, key) not in last or k >= last[scope, key] + h:
+                    last[scope, key] = k
+                    want.add((h, scope, symbol, k, side, color))
+    got = [(r["horizon"], r["scope"], r["symbol"], r["row_idx"], r["break_side"], r["previous_color"]) for r in paths.independent_events(spark, SMALL).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_empty_bars(spark):
     assert features.structure(features.base(_bars(spark, []))).count() == 0
 

@@ -69,18 +69,19 @@ def recursive_indicators(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").applyInPandas(_recursive, RECURSIVE)
 
 
-def thin(events: DataFrame, gap: int) -> DataFrame:
-    """Of events (symbol, row_idx, ...) each that is more than `gap` bars after the last one kept."""
+def thin(events: DataFrame, gap: int | str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Of events (row_idx, keys, ...) each that is `gap` bars (a number, or a column that keys hold) or more after the last one kept of its keys."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g, kept, last = g.sort_values("row_idx"), [], None
+        step = g[gap].iloc[0] if isinstance(gap, str) else gap
         for i, k in enumerate(g["row_idx"]):
-            if last is None or k > last + gap:
+            if last is None or k >= last + step:
                 kept.append(i)
                 last = k
         return g.iloc[kept]
 
-    return events.groupBy("symbol").applyInPandas(run, events.schema)
+    return events.groupBy(*keys).applyInPandas(run, events.schema)
 
 
 def _memory(g: pd.DataFrame, tolerance: float = 0.3, away: float = 0.35, accept: float = 0.3, reentry: int = 2, expiry: int = 96) -> pd.DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.operators import features, sequential
@@ -15,6 +17,8 @@ from tidebar.sources import bars as src
 from tidebar.streaming import live
 
 QUERIES, SQL = {}, {}
+#: In bars: those of the reference (5, 15, 30 and 60 minutes over bars of one), and that of the volatility events.
+HORIZONS = (5, 6, 15, 30, 60)
 
 
 def recursive_indicators(spark, d):
@@ -26,7 +30,11 @@ def level_memory(spark, d):
 
 
 def independent_events(spark, d):
-    return sequential.thin(research._dna(spark, d).select("symbol", "row_idx", "time", "break_side", "success"), 6)
+    """For each horizon, the events whose outcome windows don't overlap: of each side, and of each side and previous color (scope)."""
+    made = [research._dna(spark, d, h).select("symbol", "row_idx", "time", "break_side", "previous_color", "success", F.lit(h).alias("horizon")) for h in HORIZONS]
+    scoped = functools.reduce(DataFrame.unionByName, made).withColumn("scope", F.explode(F.array(F.lit("SIDE"), F.lit("KEYS"))))
+    scoped = scoped.withColumn("_key", F.when(F.col("scope") == "KEYS", F.col("previous_color")))
+    return sequential.thin(scoped, "horizon", ("symbol", "horizon", "scope", "break_side", "_key")).drop("_key")
 
 
 def stream_live_bars(spark, d):

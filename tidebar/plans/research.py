@@ -186,11 +186,11 @@ oc AS (SELECT *, greatest(0, CASE WHEN break_side = 'UP' THEN fh - entry ELSE en
 sp AS (SELECT *, mfe >= 0.5 AND mfe > mae AS success, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY time) <= floor(count(*) OVER (PARTITION BY symbol) * 0.7) THEN 'TRAIN' ELSE 'TEST' END AS temporal_split FROM oc)"""
 
 
-def _dna(spark, d):
+def _dna(spark, d, horizon=6):
     w = e.series()
-    f = base(spark, d).withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "fh": F.max("high").over(e.ahead(6)), "fl": F.min("low").over(e.ahead(6))})
+    f = base(spark, d).withColumns({"n": F.count("*").over(Window.partitionBy("symbol")), "fh": F.max("high").over(e.ahead(horizon)), "fl": F.min("low").over(e.ahead(horizon))})
     up, down = c("high") > c("ph"), c("low") < c("pl")
-    ev = f.where((c("atr") > 0) & (up != down) & (c("row_idx") <= c("n") - 6)).withColumns({"break_side": F.when(up, "UP").otherwise("DOWN"), "entry": F.when(up, c("ph")).otherwise(c("pl"))})
+    ev = f.where((c("atr") > 0) & (up != down) & (c("row_idx") <= c("n") - horizon)).withColumns({"break_side": F.when(up, "UP").otherwise("DOWN"), "entry": F.when(up, c("ph")).otherwise(c("pl"))})
     rise, fall, zero = c("fh") - c("entry"), c("entry") - c("fl"), F.lit(0.0)
     side_up = c("break_side") == "UP"
     ev = ev.withColumns({"mfe": F.greatest(F.when(side_up, rise).otherwise(fall), zero) / c("atr"), "mae": F.greatest(F.when(side_up, fall).otherwise(rise), zero) / c("atr"), "previous_color": F.when(c("pc") > c("po"), "UP").when(c("pc") < c("po"), "DOWN").otherwise("FLAT")})

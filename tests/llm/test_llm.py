@@ -196,6 +196,18 @@ def test_ngram_join_equals_brute_force(spark, odd):
         assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == _components(rows, width, num, den)
 
 
+def test_short_lines_go_too(spark):
+    lines = ["Menu", "All rights reserved.", "a b c d", "", "reserved. rights All", "a b c d e", "Menu", "a b c x", "la la la la la la", " ", "la", "a b c", "Menu\tMenu", "one two three four five six", "a b c d"]
+    rows, want, seen = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(5)], {}, []
+    for k, line in enumerate(lines):
+        words = set(line.split())
+        if any(9 * len(words & s) >= 4 * (len(words) + len(s)) for s in seen if words):
+            want.setdefault(k // 3, []).append(k % 3)
+        seen += [words]
+    got = linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["gone"] for r in got} == want and sum(map(len, want.values())) == 6
+
+
 def test_edges_give_a_row_per_document(spark, odd):
     n = odd.count()
     assert quality.judge(odd).count() == n

@@ -1,10 +1,11 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions alone.
 
-A line's set holds its distinct words `[^\\x20\\x09-\\x0D]+`; lines of fewer than `min_words` distinct words take no part
-and stay. Lines are ordered by doc_id and place, then (for equal ids) by hashes. A line goes if an earlier line has a
+A line's set holds its distinct words `[^\\x20\\x09-\\x0D]+`; lines of fewer than `min_words` distinct words (1, but 5
+in op9's SQL) take no part and stay. Lines are ordered by doc_id and place, then (for equal ids) by hashes. A line goes if an earlier line has a
 Jaccard similarity of at least num / den with it, removed itself or not.
 
-Equal sets meet by their hash, and only the first line of each set goes on. Words are ordered by rarity: all words are counted
+Equal sets meet by their hash, and only the first line of each set goes on, if it has words enough that another set can
+match it. Words are ordered by rarity: all words are counted
 in 65,536 hash buckets (a bound, whatever the corpus), and rank of the bucket and word hash make one ascending key. By
 the prefix filter, two sets that match share a key among the first n - ceil(t n) + 1 of each. Candidates that share one must
 also pass the length filter and the positional filter (places of the shared key and what can follow it) and a
@@ -24,6 +25,7 @@ from pyspark.sql.window import Window
 from tidebar.llm.store import cut, drop
 
 BUCKETS = 1 << 16
+#: What OP9_SQL asks of a line; the pipeline lets all lines with words take part.
 MIN_WORDS = 5
 
 
@@ -65,9 +67,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     return met.where((num + den) * n >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, min_words: int = 1) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
-    sets = _sets(docs, id_col, text_col).where(F.col("n") >= min_words).drop("n")
+    sets = _sets(docs, id_col, text_col).where(F.col("n") >= max(min_words, 1)).drop("n")
     firsts = cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
     ranks = _ranks(firsts)
     # Exploded from an array of one, so that the keys are made once and the long constant stands in the plan once.
@@ -75,7 +77,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
     # Every word flips one of 64 bits: sets that differ in d words differ in at most d bits.
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    some = keyed.select("set_id", "first", "n", bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), F.col("n") - least + 1)).alias("place", "key"))
+    # The nearest that another set comes to one of n words is n / (n + 1).
+    some = keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), F.col("n") - least + 1)).alias("place", "key"))
     lone = F.lit(-(1 << 63)).cast("long")
     held = cut(some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits"), "line-keys")
     early, late = held.alias("a"), held.alias("b")
@@ -124,7 +127,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = removed_lines(docs)
+    gone = removed_lines(docs, min_words=MIN_WORDS)
     counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     met = counted.join(gone.withColumnRenamed("doc_id", "_id"), counted["doc_id"].eqNullSafe(F.col("_id")) & (counted["text_hash"] == gone["text_hash"]), "left")
     return met.select(counted["doc_id"], "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))

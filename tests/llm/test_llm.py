@@ -208,6 +208,13 @@ def test_short_lines_go_too(spark):
     assert {r["doc_id"]: r["gone"] for r in got} == want and sum(map(len, want.values())) == 6
 
 
+def test_keep_one_leaves_one_of_repeated_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, text), (2, text), (3, "alone with words of its own here"), (3, "alone with words of its own here"), (None, "no id but words enough for one"), (None, "no id but words enough for one"), (4, ""), (4, "")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(1, text), rows[4], rows[6], (4, ""), (4, "")])
+
+
 def test_edges_give_a_row_per_document(spark, odd):
     n = odd.count()
     assert quality.judge(odd).count() == n

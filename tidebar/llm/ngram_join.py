@@ -281,13 +281,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one document of each component: that of the smallest id, of equal ids the smallest text hash. Rows equal in both are one document."""
+    """docs with one document of each component: that of the smallest id, of equal ids the smallest text hash. Of rows equal in both, one stays."""
     found = cut(components(docs, id_col, text_col, width, num, den), "ngram-join")
     same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
     gone = found.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
     keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
     kept = keyed.join(gone, (keyed[id_col].cast("long").eqNullSafe(gone["_id"])) & (keyed["_hash"] == gone["_gone"]), "left_anti")
-    return kept.select(*docs.columns)
+    # Wordless texts link with nothing, so their copies stay. Only rows that repeat are dealt out.
+    many = found.where(same & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias("_many_id"), F.col("text_hash").alias("_many")).count().where("count > 1").drop("count")
+    marked = kept.join(many, kept[id_col].cast("long").eqNullSafe(many["_many_id"]) & (kept["_hash"] == many["_many"]), "left")
+    return marked.where(F.col("_many").isNull()).unionByName(marked.where(F.col("_many").isNotNull()).dropDuplicates(["_many_id", "_many"])).select(*docs.columns)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

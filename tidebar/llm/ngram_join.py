@@ -14,12 +14,18 @@ that leave hardly a set with an empty segment, as that would be a very common si
 with neighbourhoods, large ones m = U + 1 + x without. In the latter a linked pair shares x + 1 segments, so x empty ones
 need not sign; the few sets with more empty segments sign that they have, once a band.
 
-Verification. Each class with a shared signature hangs on the smallest class of that signature; the components of these
-hangings are candidate clusters, which hold all links. A cluster's texts meet in blocks of about `block_bytes`, one task a
-pair of blocks, and an inverted index counts all intersections there exactly. Only a spanning forest of the links found
-leaves a task. Components of the forests are the result. No pair of a group is emitted as a row.
-
-Null or wordless texts have empty sets and link with nothing; equal rows fall into one class; ids may repeat or be null.
+Candidates. Signatures with the same classes count once. Inside a signature, two classes are candidates if their sizes fit and
+their bitmaps do: each shingle flips one of 512 or more bits, so sets cannot differ in fewer shingles than bits. Only the
+components of these candidates leave the signature, as stars. A signature of more than MAX_GROUP classes, or one that would
+take too many comparisons, gives one star of all its classes instead, which only makes candidate clusters larger.
+
+Verification. The components of all stars are candidate clusters, which hold all links. A cluster's texts meet in blocks of
+about `block_bytes`, one task a pair of blocks, and an inverted index counts all intersections there exactly. Only a spanning
+forest of the links found leaves a task. Components of the forests are the result. No pair of a group is emitted as a row.
+
+Shingles and classes are known by 64-bit hashes. Null or wordless texts have empty sets and link with nothing; very long
+texts are hashed whole; equal rows fall into one class; ids may repeat or be null; empty tables give empty results;
+columns of any other names pass through keep_one.
 """
 
 from __future__ import annotations
@@ -40,14 +46,19 @@ from tidebar.llm.store import cut, drop, shuffle_partitions
 
 BAND = 0.7
 RARE = 1e-5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
+MAX_GROUP = 20_000
+#: Bytes of bitmaps that one signature may compare.
+MAX_COMPARED = 1 << 31
+#: From so many shingles on a bitmap has four times as many bits.
+BITMAP_STEPS = (400, 1600, 6400)
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z lowered."""
     data = tv.LOWER_AZ[data]
     starts, ends, text = tv.spans(data, at, tv.NOT_SPACE)
-    words = tv.span_hashes(tv.prefix(data), starts, ends)
+    words = tv.span_hashes(data, starts, ends)
     grams = tv.rolling(words, width)
     stops = np.searchsorted(text, np.arange(len(at)))
     out = []
@@ -135,8 +146,15 @@ def _class(grams: np.ndarray) -> int:
     return int(tv.mix(np.array([h.sum(dtype=np.uint64)]) * np.uint64(tv.BASE) + np.uint64(len(grams)))[0].view(np.int64)) or 1
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """Each shingle flips the bit of its hash; smaller bitmaps are larger ones folded by halves."""
+    bits = 512 << 2 * sum(len(grams) >= step for step in BITMAP_STEPS)
+    flips = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class, signatures."""
+    """doc_id, text_hash, n_shingles, class, bits, signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = _plan(num, den)
@@ -147,9 +165,60 @@ def sketch(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 signs = [plan.signatures(s) for s in sets]
                 stops = pa.array(np.cumsum([0] + [len(s) for s in signs]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(stops, pa.array(np.concatenate(signs).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), lists], names=["doc_id", "text_hash", "n_shingles", "class", "signs"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *columns], names=["doc_id", "text_hash", "n_shingles", "class", "bits", "signs"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, bits binary, signs array<long>")
+
+
+def stars(classes: list[int], sizes: list[int], bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """(class, smallest class of its component) over the candidates of one signature; all hang on one where that is too dear."""
+    width = min(map(len, bits))
+    order = np.argsort(classes)
+    names, n = np.array(classes)[order], np.array(sizes)[order]
+    maps = np.empty((len(bits), width // 8), np.uint64)
+    for row, k in enumerate(order.tolist()):
+        folded = np.frombuffer(bits[k], np.uint64).reshape(-1, width // 8)
+        maps[row] = np.bitwise_xor.reduce(folded, 0)
+    free = np.arange(len(names))
+    out, left = [], MAX_COMPARED
+    while len(free):
+        root, queue, free = int(free[0]), [int(free[0])], free[1:]
+        while queue and len(free):
+            i = queue.pop()
+            left -= len(free) * width
+            if left < 0:
+                return [(int(x), int(names[0])) for x in names[1:]]
+            near = free[(den * n[free] >= num * n[i]) & (num * n[free] <= den * n[i])]
+            differ = np.bitwise_count(maps[near] ^ maps[i]).sum(1, dtype=np.int64)
+            near = near[(den + num) * differ <= (den - num) * (n[near] + n[i])]
+            out += [(int(names[k]), int(names[root])) for k in near.tolist()]
+            queue += near.tolist()
+            free = free[~np.isin(free, near, assume_unique=True)]
+    return out
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, signs array<long>")
+
+def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Stars (u, v) from (sign, class, n_shingles, bits), sorted by sign in each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, held = None, []
+
+        def table() -> pa.RecordBatch:
+            found = stars(*map(list, zip(*held, strict=True)), num, den)
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for key, node, size, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != sign:
+                    if len(held) > 1:
+                        yield table()
+                    sign, held = key, []
+                held.append((node, size, bits))
+        if len(held) > 1:
+            yield table()
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _forest(sets: list[np.ndarray], side: list[int], nodes: list[int], num: int, den: int) -> list[tuple[int, int]]:
@@ -251,14 +320,20 @@ def _packed(docs: DataFrame) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (the smallest id that links reach, its own included) and the text hash of that document, a row per document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = cut(sketch(docs, width, num, den), "ngram-join")
     signs = known.select("class", F.explode("signs").alias("sign"))
-    shared = signs.groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    hung = signs.join(shared.select("sign", "low"), "sign").where("class <> low").select(F.col("class").alias("u"), F.col("low").alias("v"))
-    clusters = roots(hung, "ngram-join")
-    signed, known = known, cut(known.drop("signs"), "ngram-join")
-    drop(signed)
+    digest = F.bit_xor(F.xxhash64("class", F.lit(11)))
+    shared = signs.groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), digest.alias("digest")).where("low < high")
+    groups = cut(shared.groupBy("low", "high", "n", "digest").agg(F.min("sign").alias("sign")), "ngram-join")
+    met = signs.join(groups.select("sign", "low", "n"), "sign")
+    large = met.where(F.col("n") > MAX_GROUP).where("class <> low").select(F.col("class").alias("u"), F.col("low").alias("v"))
+    classes = known.where("class <> 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    small = met.where(F.col("n") <= MAX_GROUP).select("sign", "class").distinct().join(classes, "class").select("sign", "class", "n_shingles", "bits")
+    small = small.repartition(shuffle_partitions(spark), "sign").sortWithinPartitions("sign", "class")
+    clusters = roots(large.unionByName(_candidates(small, num, den)), "ngram-join")
+    signed, known = known, cut(known.drop("signs", "bits"), "ngram-join")
+    drop(signed, groups)
     member = clusters.select("root", F.col("node").alias("class")).unionByName(clusters.select("root", F.col("root").alias("class")).distinct())
     one = known.where("class <> 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     wanted = member.join(one, "class").select("root", "class", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))
@@ -284,13 +359,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """docs with one document of each component: that of the smallest id, of equal ids the smallest text hash. Of rows equal in both, one stays."""
     found = cut(components(docs, id_col, text_col, width, num, den), "ngram-join")
     same = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
-    gone = found.where(~same).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_gone")).distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    kept = keyed.join(gone, (keyed[id_col].cast("long").eqNullSafe(gone["_id"])) & (keyed["_hash"] == gone["_gone"]), "left_anti")
+    gone = found.where(~same).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("hash"))
+    kept = rows.join(gone, F.col("doc").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti")
     # Wordless texts link with nothing, so their copies stay. Only rows that repeat are dealt out.
-    many = found.where(same & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias("_many_id"), F.col("text_hash").alias("_many")).count().where("count > 1").drop("count")
-    marked = kept.join(many, kept[id_col].cast("long").eqNullSafe(many["_many_id"]) & (kept["_hash"] == many["_many"]), "left")
-    return marked.where(F.col("_many").isNull()).unionByName(marked.where(F.col("_many").isNotNull()).dropDuplicates(["_many_id", "_many"])).select(*docs.columns)
+    many = found.where(same & (F.col("n_shingles") > 0)).groupBy(F.col("doc_id").alias("many_id"), F.col("text_hash").alias("many_hash")).count().where("count > 1").drop("count")
+    marked = kept.join(many, F.col("doc").eqNullSafe(F.col("many_id")) & (F.col("hash") == F.col("many_hash")), "left")
+    return marked.where(F.col("many_hash").isNull()).unionByName(marked.where(F.col("many_hash").isNotNull()).dropDuplicates(["many_id", "many_hash"])).select("row.*")
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions alone.
 
-A line's set holds its distinct words `[^\\x20\\x09-\\x0D]+`; lines of fewer than `min_words` distinct words (1, but 5
-in op9's SQL) take no part and stay. Lines are ordered by doc_id and place, then (for equal ids) by hashes. A line goes if an earlier line has a
-Jaccard similarity of at least num / den with it, removed itself or not.
+A line's set holds its distinct words `[^\\x20\\x09-\\x0D]+`; lines without words stay. Lines are ordered by doc_id and place,
+then (for equal ids) by hashes. A line goes if an earlier line has a Jaccard similarity of at least num / den with it, removed
+itself or not. Sets too small for any other set to come that near match by equality alone.
 
 Equal sets meet by their hash, and only the first line of each set goes on, if it has words enough that another set can
 match it. Words are ordered by rarity: all words are counted
@@ -13,7 +13,8 @@ bitmap filter (64 bits, each word flips one: sets cannot differ in more bits tha
 held against its earliest candidates; only lines that found no match there are held against the others. Jaccard is
 verified on the 64-bit hashes of the words.
 
-Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document.
+Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document; very long texts and
+lines are taken whole; empty tables give empty results; columns of any other names pass through remove_lines.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from pyspark.sql.window import Window
 from tidebar.llm.store import cut, drop
 
 BUCKETS = 1 << 16
-#: What OP9_SQL asks of a line; the pipeline lets all lines with words take part.
-MIN_WORDS = 5
 
 
 def words_of(line: Column) -> Column:
@@ -39,9 +38,9 @@ def _bucket(word: Column) -> Column:
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row per line with the size and the hash of its set. The words are made once, in what is exploded."""
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     made = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), F.transform(words_of(line), lambda w: F.xxhash64(w)).alias("hashes")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(made).alias("line_no", "x"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(made).alias("line_no", "x"))
     whole = F.aggregate("x.hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
     return rows.select("doc_id", "text_hash", "line_no", "x.line", F.size("x.hashes").alias("n"), F.xxhash64(whole, F.size("x.hashes")).alias("set_id"))
 
@@ -67,9 +66,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
     return met.where((num + den) * n >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, min_words: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
-    sets = _sets(docs, id_col, text_col).where(F.col("n") >= max(min_words, 1)).drop("n")
+    sets = _sets(docs, id_col, text_col).where("n > 0").drop("n")
     firsts = cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
     ranks = _ranks(firsts)
     # Exploded from an array of one, so that the keys are made once and the long constant stands in the plan once.
@@ -80,7 +79,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # The nearest that another set comes to one of n words is n / (n + 1).
     some = keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), F.col("n") - least + 1)).alias("place", "key"))
     lone = F.lit(-(1 << 63)).cast("long")
-    held = cut(some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits"), "line-keys")
+    held = some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits")
     early, late = held.alias("a"), held.alias("b")
 
     def col(side: str, name: str) -> Column:
@@ -96,7 +95,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = early.join(late, (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must))
     pairs = met.groupBy(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).agg(F.min(col("a", "doc")).alias("doc"))
     pairs_table = pairs = cut(pairs, "line-pairs")
-    drop(held)
     pairs = pairs.join(pairs.groupBy("b").agg(F.min("doc").alias("least")), "b").select("a", "b", (F.col("doc") == F.col("least")).alias("star"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
@@ -117,17 +115,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, all of them, with their texts without the lines that go."""
-    gone = removed_lines(docs, id_col, text_col, **how).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    keyed = docs.withColumn("_own", F.xxhash64(F.col(text_col).cast("string")))
-    met = keyed.join(gone, keyed[id_col].cast("long").eqNullSafe(gone["_id"]) & (keyed["_own"] == gone["_hash"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n"), lambda line, k: ~F.array_contains("gone", k))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return met.select(*(text.alias(c) if c == text_col else keyed[c] for c in docs.columns))
+    gone = removed_lines(docs, id_col, text_col, **how).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "gone")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("hash"))
+    met = rows.join(gone, F.col("doc").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
+    old = F.col("row").getField(text_col)
+    kept = F.filter(F.split(old, "\n"), lambda line, k: ~F.array_contains("gone", k))
+    new = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    return met.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    gone = removed_lines(docs, min_words=MIN_WORDS)
+    gone = removed_lines(docs)
     counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     met = counted.join(gone.withColumnRenamed("doc_id", "_id"), counted["doc_id"].eqNullSafe(F.col("_id")) & (counted["text_hash"] == gone["text_hash"]), "left")
     return met.select(counted["doc_id"], "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))
@@ -136,8 +136,8 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH l AS (SELECT doc_id, i - 1 AS k, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
 s AS (SELECT doc_id, k, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
-sets AS (SELECT row_number() OVER (ORDER BY min((doc_id, k))) AS id, ws, len(ws) AS n, min((doc_id, k)) AS first FROM s WHERE len(ws) >= 5 GROUP BY ws),
-t AS (SELECT id, n, unnest(ws) AS w FROM sets),
+sets AS (SELECT row_number() OVER (ORDER BY min((doc_id, k))) AS id, ws, len(ws) AS n, min((doc_id, k)) AS first FROM s WHERE len(ws) > 0 GROUP BY ws),
+t AS (SELECT id, n, unnest(ws) AS w FROM sets WHERE n >= 4),
 met AS (SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(a.n + b.n) AS n FROM t a JOIN t b ON a.w = b.w AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.id, b.id),
 late AS (SELECT DISTINCT b AS id FROM met WHERE 9 * c >= 4 * n),
 gone AS (SELECT s.doc_id, s.k FROM s JOIN sets ON s.ws = sets.ws LEFT JOIN late ON late.id = sets.id WHERE late.id IS NOT NULL OR (s.doc_id, s.k) <> sets.first),

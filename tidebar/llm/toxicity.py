@@ -1,15 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled training rows: one of word beginnings that toxic texts hold much more often
-than ordinary ones, one of the opposite (log odds times the root of the number of texts, at least `least`). Each window of
-64 characters of a text is compressed with both. Before that every character is written as four bytes that hash it and the
-three before it, so that a shared run of five letters outweighs the cost of a match, and other text does not compress. The
-differences of the two lengths over a text's windows give ten features, and a logistic fit on the training rows calibrates
-thresholds on them into a score.
+Every character of a text's words is written as four bytes, a unit, that hash it and the three before it, so that a shared run
+of five letters outweighs the cost of a match, and other text does not compress. Two zstandard dictionaries are trained by the
+library, one on toxic and one on ordinary training text. Of each text they get the stretches whose units texts of its label
+hold more often than the other label's texts lead to expect, by more than chance: what all texts share says nothing of either.
+What the trainer picks from these stretches, and how much, is the library's. The deviations that an excess must have are the
+most of DEVIATIONS at which the stretches still reach most toxic texts. Each window of 64 characters of a text is compressed
+with both dictionaries; the differences of the two lengths over a text's windows give ten features, and a logistic fit on the
+training rows calibrates thresholds on them into a score.
 
 Dictionaries and fit come from at most MAX_LABELLED labelled rows, those with the smallest hash of the id; every document is
-scored, in all its windows. A text without letters has no windows and gets the fit's score for that; a null text counts as
-empty. Without rows of both labels the score is the share of toxic labels, 0 without any label.
+scored, in all its windows, however long it is. Copies (texts of one label with the same three smallest hashes of word triples)
+lend their words once, by the smallest id; repeated labels of an id count as the largest. A text without letters has no windows
+and gets the fit's score for that; a null text counts as empty. Without rows of both labels the score is the share of toxic
+labels, 0 without any label. Repeated rows get a score each; empty tables give empty results; a score of exactly one half is
+predicted as toxic; columns of other names play no part.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from tidebar.llm import textvec as tv
 from tidebar.llm.store import cut
 
 MAX_LABELLED = 20_000
-MAX_STEMS = 400
 WINDOW = 64
 N_FEATURES = 10
-STEMS = (5, 6, 7, 8, 9, 10)
+#: Bytes of a dictionary, the trainer's segments in bytes.
+DICTIONARY_BYTES, SEGMENT = 16_384, 64
+#: How many deviations an excess must have, the share of toxic texts that stretches must reach, and units in a stretch.
+DEVIATIONS, REACHED, STRETCH = (6, 5, 4, 3), 0.8, 2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,9 +56,18 @@ def letters(text: str | None) -> str:
     return " ".join(_WORD.findall((text or "").lower()))
 
 
+def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary for the samples; too few for the trainer are taken as they are."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
 class Dictionaries:
-    def __init__(self, toxic: list[str], ordinary: list[str]):
-        self.parts = [b"".join(units(s) for s in reversed(stems)) for stems in (ordinary, toxic)]
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+        """From the training texts of both."""
+        self.parts = [trained(ordinary), trained(toxic)]
         self._ready = None
 
     def __getstate__(self):
@@ -93,57 +109,81 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return mean, scale, beta
 
 
-def _stem_counts(rows: DataFrame) -> DataFrame:
-    """How many toxic and how many ordinary texts have each word beginning (a blank, then 4 to 9 characters of word and blank)."""
+def _units(text: str | None) -> np.ndarray:
+    return np.frombuffer(units(f" {letters(text)} "), np.uint32)
+
+
+def _unit_counts(rows: DataFrame) -> DataFrame:
+    """How many toxic (n1) and how many ordinary (n0) texts have each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[label].append(np.unique(_units(text)))
+            for label, parts in enumerate(found):
+                if parts:
+                    unit, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int64)), pa.array(np.full(len(unit), label, np.int32)), pa.array(n)], names=["unit", "label", "n"])
+
+    counted = rows.select("text", "toxic").mapInArrow(run, "unit long, label int, n long")
+    return counted.groupBy("unit").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
 
-        def flush():
-            for label, c in enumerate(counts):
-                if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([label] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["stem", "label", "n"])
-                    c.clear()
 
+def stretches(found: np.ndarray, kept: np.ndarray) -> list[bytes]:
+    """Runs of at least STRETCH units that are all kept ones."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], np.isin(found, kept).astype(np.int8), [0]])))
+    return [found[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= STRETCH]
+
+
+def _training_texts(rows: DataFrame, kept: dict[tuple[int, int], np.ndarray]) -> DataFrame:
+    """level, label, stretch and n: how often; an empty stretch counts the texts that have one. kept: by level and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: dict[tuple[int, int, bytes], int] = {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {f" {w} " for w in set(_WORD.findall((text or "").lower()))}
-                for stem in {w[:n] for w in words for n in STEMS if len(w) >= n}:
-                    counts[label][stem] = counts[label].get(stem, 0) + 1
-                if len(counts[0]) + len(counts[1]) > 1_000_000:
-                    yield from flush()
-        yield from flush()
+                found = _units(text)
+                for level in DEVIATIONS:
+                    runs = stretches(found, kept[level, label])
+                    for r in [*runs, *([b""] if runs else [])]:
+                        out[level, label, r] = out.get((level, label, r), 0) + 1
+            columns = [pa.array([k[j] for k in out], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(out.values()), pa.int64())], names=["level", "label", "stretch", "n"])
 
-    counted = rows.select("text", "toxic").mapInArrow(run, "stem string, label int, n long")
-    return counted.groupBy("stem").agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
+    return rows.select("text", "toxic").mapInArrow(run, "level int, label int, stretch binary, n long").groupBy("level", "label", "stretch").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, least: float = 15.0):
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED):
     """The dictionaries and the logistic fit; the fit is a number where only one label, or none, is there."""
     known = labels.where(fold_of(F.col(id_col)) != 0).where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)  # at most 20,000 numbers
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    # Copies would lend their words too much weight: of texts with the same three smallest hashes of word triples one is taken.
     words = F.split("text", r"\s+")
     sketch = F.slice(F.array_sort(F.transform(F.arrays_zip(words, F.slice(words, F.lit(2), F.size(words)), F.slice(words, F.lit(3), F.size(words))), lambda x: F.xxhash64(x))), 1, 3)
-    rows = cut(rows.join(F.broadcast(known), "_id").withColumn("sketch", sketch).dropDuplicates(["sketch"]).drop("sketch"), "toxicity")
+    met = rows.join(F.broadcast(known), "_id").withColumn("sketch", sketch)
+    rows = cut(met.groupBy("toxic", "sketch").agg(F.min_by("text", F.struct("_id", "text")).alias("text")).select("toxic", "text"), "toxicity")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return Dictionaries([], []), n1 / (n0 + n1) if n0 + n1 else 0.0
-    odds = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n0 + 1.0))
-    stems = cut(_stem_counts(rows).where("n0 + n1 >= 3").withColumn("odds", odds), "toxicity")
+    expected = {1: F.col("n0") * (n1 / n0), 0: F.col("n1") * (n0 / n1)}
 
-    def best(sign: int, count: str, most: int) -> list[str]:
-        """The best stems, without those that a better one begins with."""
-        scored = stems.where(F.col(count) >= 3).withColumn("score", sign * F.col("odds") * F.sqrt(count)).where("score > 0").orderBy(F.desc("score"), F.length("stem"), "stem").limit(4 * most).collect()
-        floor, out = max(least, scored[0]["score"] / 6) if scored else 0.0, []
-        for n, r in enumerate(scored):
-            if len(out) < most and (r["score"] >= floor or (n < 100 and r["score"] >= 4)) and not any(s.startswith(r["stem"]) for s in out):
-                out.append(r["stem"])
-        return out
+    def beyond(label: int, level: float):
+        return F.col(f"n{label}") - expected[label] >= level * F.sqrt(expected[label] + level * level)
 
-    made = Dictionaries(best(1, "n1", MAX_STEMS), best(-1, "n0", 50))
+    flags = [beyond(label, level).alias(f"k{level}_{label}") for level in DEVIATIONS for label in (0, 1)]
+    least = min(DEVIATIONS)
+    found = _unit_counts(rows).where(beyond(0, least) | beyond(1, least)).select("unit", *flags).toPandas()  # of at most max_labelled texts
+    kept = {(level, label): found["unit"].to_numpy()[found[f"k{level}_{label}"].to_numpy(bool)].astype(np.uint32) for level in DEVIATIONS for label in (0, 1)}
+    texts = [r.asDict() for r in _training_texts(rows, kept).collect()]
+    reached = {r["level"]: r["n"] for r in texts if r["label"] == 1 and not r["stretch"]}
+    level = next((x for x in DEVIATIONS if reached.get(x, 0) >= REACHED * n1), least)
+
+    def training(label: int) -> list[bytes]:
+        return [bytes(r["stretch"]) for r in sorted(texts, key=lambda r: bytes(r["stretch"])) if r["level"] == level and r["label"] == label and r["stretch"] for _ in range(r["n"])]
+
+    made = Dictionaries(training(1), training(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +194,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return made, fit_logistic(np.array(got["x"].to_pylist(), float), got["y"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, made: Dictionaries, fit, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every document, by what train returns."""
+    made, fit = model
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if isinstance(fit, float):
@@ -171,5 +214,5 @@ def score(docs: DataFrame, made: Dictionaries, fit, id_col: str = "doc_id", text
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score(docs, *train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

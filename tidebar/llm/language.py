@@ -1,14 +1,20 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
 Texts become lower-case letters with one blank for each run of anything else; n-grams are runs of four of these. Training
-counts the n-grams of every labelled document by language. Those with a relative frequency of at least `least_share` in a
-language (so at most 1 / least_share a language: the bound on what is collected and broadcast) and of at least
-`least_ratio` of their largest one go into the filter: an array of bit masks, one bit a language. A look-up joins the masks
-of three slots with AND, so one probe returns all languages that contain the n-gram. A language's hits are counted by bit,
-corrected for the filter's false positives, and the largest corrected count decides; its share of all is the score.
+counts the n-grams of every labelled document by language, and all of them go into the filter: an array of bit masks with
+one bit for each language and tier of frequency. The first tier has all n-grams of a language, the others those of at least
+that share of its n-grams. A look-up joins the masks of three slots with AND, so one probe returns all languages that contain
+the n-gram, and how common it is in each. Hits are counted by bit and corrected for the bit's false positives; a language's
+score is the sum over its tiers, the largest decides, and its share of all is the score. A tier is a factor of ten in
+frequency, so rare n-grams weigh less without being left out.
+
+The filter is built where the counts are: slots are grouped, their bits OR-ed, and only the masks (at most MAX_SLOTS, whatever
+the corpus) come to the driver. It has twelve slots an n-gram as long as that bound allows; beyond it the first tier fills up,
+which the correction takes out, while the other tiers hold at most one n-gram per share.
 
 Ties go to the language with more training n-grams, then by name. A text without known n-grams gets the commonest language
-with an even score; a null text, or one without letters, is `und` with score 0, and so is all without training rows.
+with an even score; a null text, or one without letters, is `und` with score 0, and so is all without training rows; empty
+tables give empty results; repeated rows count each time; very long texts are read whole; columns of other names play no part.
 """
 
 from __future__ import annotations
@@ -26,8 +32,11 @@ from tidebar.llm.toxicity import fold_of
 
 GRAM = 4
 PROBES = 3
-LEAST_SHARE = 2e-5
-LEAST_RATIO = 0.25
+#: Least shares of the tiers; the first tier holds everything.
+TIERS = (0.0, 1e-6, 1e-5, 1e-4, 1e-3)
+MAX_SLOTS = 1 << 24
+SLOTS_A_GRAM = 12
+_PART = 16  # bits of a slot's place in its part of the filter
 _letters: list[np.ndarray] = []
 
 
@@ -95,58 +104,99 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def probes(grams: np.ndarray, slots: int) -> Iterator[np.ndarray]:
+    first, step = tv.mix(grams ^ np.uint64(0x51ED270B)), tv.mix(grams + np.uint64(tv.BASE)) | np.uint64(1)
+    for j in range(PROBES):
+        yield ((first + np.uint64(j) * step) & np.uint64(slots - 1)).astype(np.int64)
+
+
 class BitSliced:
-    """Masks of languages by slot; bit k of word w is language 64 w + k."""
-
-    def __init__(self, langs: list[str], sizes: list[int], grams: np.ndarray, lang_of: np.ndarray):
-        self.langs, self.sizes = langs, sizes
-        self.slots = 1 << max(10, int(12 * max(1, len(np.unique(grams))) - 1).bit_length())
-        width = next((t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= 8 * np.dtype(t).itemsize), np.uint64)
-        self.per_word = 8 * np.dtype(width).itemsize
-        self.masks = np.zeros((-(-max(1, len(langs)) // self.per_word), self.slots), width)
-        for k in range(len(langs)):
-            for slot in self._probe(grams[lang_of == k]):
-                self.masks[k // self.per_word][slot] |= width(1 << (k % self.per_word))
-        self.false = np.array([np.mean((self.masks[k // self.per_word] >> width(k % self.per_word)) & width(1)) ** PROBES for k in range(len(langs))])
-
-    def _probe(self, grams: np.ndarray) -> Iterator[np.ndarray]:
-        first, step = tv.mix(grams ^ np.uint64(0x51ED270B)), tv.mix(grams + np.uint64(tv.BASE)) | np.uint64(1)
-        for j in range(PROBES):
-            yield ((first + np.uint64(j) * step) & np.uint64(self.slots - 1)).astype(np.int64)
+    """Masks by slot, in words of 64 bits; bit len(TIERS) * language + tier says that the language has the n-gram in that tier."""
+
+    def __init__(self, langs: list[str], masks: np.ndarray):
+        self.langs, self.masks, self.slots = langs, masks, masks.shape[1]
+        bits = range(len(langs) * len(TIERS))
+        self.false = np.array([np.mean(self._bit(masks[k // 64], k)) ** PROBES for k in bits])
+
+    @staticmethod
+    def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+        return (masks >> np.uint64(k % 64)) & np.uint64(1)
+
+    def found(self, grams: np.ndarray) -> np.ndarray:
+        """The masks of n-grams, a row a word."""
+        slots = list(probes(grams, self.slots))
+        out = self.masks[:, slots[0]]
+        for slot in slots[1:]:
+            out &= self.masks[:, slot]
+        return out
+
+    def languages(self, gram: str) -> list[str]:
+        """All languages that contain an n-gram of GRAM characters, and perhaps a false one."""
+        codes = np.frombuffer(gram.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        masks = self.found(tv.rolling(codes, GRAM))
+        return [lang for n, lang in enumerate(self.langs) if self._bit(masks[n * len(TIERS) // 64], n * len(TIERS))[0]]
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         grams, text, has = grams_of(texts)
-        n, counts = len(texts), np.zeros((len(self.langs), len(texts)))
-        total = np.bincount(text, minlength=n)
-        slots = list(self._probe(grams))
-        for word in range(len(self.masks)):
-            mask = self.masks[word][slots[0]]
-            for slot in slots[1:]:
-                mask &= self.masks[word][slot]
-            for k in range(word * self.per_word, min(len(self.langs), (word + 1) * self.per_word)):
-                hits = np.bincount(text[(mask >> mask.dtype.type(k % self.per_word)) & mask.dtype.type(1) == 1], minlength=n)
-                counts[k] = np.maximum(0, (hits - total * self.false[k]) / (1 - min(self.false[k], 0.999)))
+        n = len(texts)
+        total, counts = np.bincount(text, minlength=n), np.zeros((len(self.langs), n))
+        masks = self.found(grams)
+        for k, false in enumerate(self.false.tolist()):
+            hits = np.bincount(text, weights=self._bit(masks[k // 64], k), minlength=n)
+            counts[k // len(TIERS)] += np.maximum(0, hits - total * false)
         best, whole = counts.argmax(0), counts.sum(0)
         share = np.where(whole > 0, counts.max(0) / np.where(whole > 0, whole, 1), 1 / len(self.langs))
         return [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, share, 0.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE, least_ratio: float = LEAST_RATIO) -> BitSliced | None:
+def _slots(rows: DataFrame, slots: int) -> DataFrame:
+    """part, place, word and mask of the slots of each n-gram, from (gram, word, mask)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slot in probes(batch.column(0).to_numpy().view(np.uint64), slots):
+                yield pa.RecordBatch.from_arrays([pa.array((slot >> _PART).astype(np.int32)), pa.array((slot & ((1 << _PART) - 1)).astype(np.int32)), batch.column(1), batch.column(2)], names=["part", "place", "word", "mask"])
+
+    return rows.mapInArrow(run, "part int, place int, word int, mask long").groupBy("part", "place", "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def _parts(slots: DataFrame) -> DataFrame:
+    """A row a part and word of the filter: the places that are set and their masks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        place, mask = (np.ascontiguousarray(table.column(n).to_numpy()) for n in ("place", "mask"))
+        return pa.table({"part": table.column("part")[:1], "word": table.column("word")[:1], "places": pa.array([place.astype("<i4").tobytes()]), "masks": pa.array([mask.astype("<i8").tobytes()])})
+
+    return slots.groupBy("part", "word").applyInArrow(run, "part int, word int, places binary, masks binary")
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_slots: int = MAX_SLOTS) -> BitSliced | None:
     """The filter, learned from text and non-null language of documents outside the held-out fold."""
     rows = docs.where(fold_of(F.col(id_col)) != 0).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = cut(_counts(rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))), "language")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    # Totals have a row a language. What passes is at most 1 / least_share rows a language.
-    frequent = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= least_share)
-    top = frequent.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = frequent.join(top, "gram").where(F.col("share") >= least_ratio * F.col("top")).select("lang", "gram").toArrow()
-    sizes = {r["lang"]: r["total"] for r in totals.collect()}
+    sizes = {r["lang"]: r["total"] for r in totals.collect()}  # a row a language
     if not sizes:
         return None
     langs = sorted(sizes, key=lambda k: (-sizes[k], k))
-    place = {k: i for i, k in enumerate(langs)}
-    lang_of = np.fromiter((place[k] for k in kept["lang"].to_pylist()), np.int64, kept.num_rows)
-    return BitSliced(langs, [sizes[k] for k in langs], kept["gram"].to_numpy().view(np.uint64), lang_of)
+    known = counts.sparkSession.createDataFrame([(k, n, float(sizes[k])) for n, k in enumerate(langs)], "lang string, place int, total double")
+    share, bit = F.col("n") / F.col("total"), F.col("place") * len(TIERS)
+    mask, word = F.lit(0).cast("long"), F.floor(bit / 64).cast("int")
+    for t, least in enumerate(TIERS):  # a language's tiers may lie over two words
+        mask = F.when(share >= least, mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (bit + t) % 64))).otherwise(mask)
+    masked = counts.join(F.broadcast(known), "lang")
+    if len(langs) * len(TIERS) > 64:
+        each = F.explode(F.array_compact(F.array(*(F.when(share >= least, bit + t) for t, least in enumerate(TIERS))))).alias("bit")
+        masked = masked.select("gram", each).select("gram", F.floor(F.col("bit") / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64).alias("mask"))
+    else:
+        masked = masked.select("gram", word.alias("word"), mask.alias("mask"))
+    grams = counts.agg(F.approx_count_distinct("gram")).first()[0]
+    slots = min(max_slots, 1 << max(_PART, int(SLOTS_A_GRAM * grams - 1).bit_length()))
+    masks = np.zeros((-(-len(langs) * len(TIERS) // 64), slots), np.uint64)
+    for r in _parts(_slots(masked, slots)).collect():  # at most `slots` masks a word
+        masks[r["word"], (r["part"] << _PART) + np.frombuffer(r["places"], "<i4").astype(np.int64)] = np.frombuffer(r["masks"], "<u8")
+    return BitSliced(langs, masks)
 
 
 def identify(docs: DataFrame, model: BitSliced | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

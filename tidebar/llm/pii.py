@@ -4,16 +4,21 @@ Candidates come from wide patterns (the base ones and written-out or national fo
 or +1: a strict pattern, a gazetteer (endings of domains, given names, street words, area codes, checksums), context words
 before the span, and the span's borders. Votes of all documents are counted by kind and pattern of votes (at most
 81 rows a kind), and expectation-maximisation over these counts estimates, for each kind and labeler, how it votes on true
-and false candidates. A logistic span classifier is then fitted to the posteriors, over the same counts, and each candidate
-with a probability of at least one half is added. Base matches always stay.
-
-Null texts count as empty: no spans. Ties of overlapping candidates go to the one that starts first, then the longer one.
+and false candidates. A logistic span classifier is then trained on the posteriors: it reads kind and votes, and besides them
+the span's shape (length, digits, capitals, separators) and the word before it (hashed), which the labelers don't see, and so
+learns from all documents which shapes and contexts go with true candidates. Its counts are by these features, whose
+combinations bound them. Each candidate with a probability of at least one half is added. Base matches always stay.
+
+Null texts count as empty: no spans; very long texts are read whole. Ties of overlapping candidates go to the one that starts
+first, then the longer one. Repeated rows are judged one by one; empty tables give empty results; ids may be null or repeat;
+columns of other names play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +31,8 @@ from tidebar.llm.store import cut
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban", "name", "address", "secret")
 N_LABELERS = 4
+#: Values of a span's shape, and hashes of the word before it.
+N_SHAPES, N_WORDS = 24, 32
 
 #: Gazetteers and context words.
 ENDINGS = frozenset("ai app at au be biz br ca ch cn co com cz de dev dk edu es eu fi fr gov gr hu ie in info int io it jp kr me mil mx name net nl no nz org pl pro pt ro ru se sk tv uk us za".split())
@@ -59,6 +66,7 @@ _SPELLED = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?(\[at\]|\(at\)|\{at\}| at ) ?(
 _DOT = re.compile(r"[ \[({]dot[ \])}]", re.I)
 _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? ((?:[A-Z]\w+)(?: [A-Z]\w+)?)")
 _NAMED = re.compile(r"\b(?:[Mm]y name is|[Nn]ame:|Dear|Sincerely,|Regards,)\s+((?:[A-Z]\w+)(?: [A-Z]\w+)?)")
+_BEFORE = re.compile(r"[^\W\d_]+")
 _ACCESS_KEY = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"\b(token|key|secret|password|passwd)\b[\"']?\s?[=:]\s?[\"']?([A-Za-z0-9_+/-]{16,})", re.I)
 
@@ -161,8 +169,19 @@ def _wide(text: str, chunks: list[tuple[int, int]]) -> Iterator[tuple[str, int,
             yield "secret", *m.span(2), 1 if mixed else -1, 1 if len(set(m[2])) >= 8 else -1
 
 
-def candidates(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, int, int, bool]]]:
-    """Base spans, and all candidates as (kind, start, end, code of the votes, whether base)."""
+def shape_of(span: str) -> int:
+    """Length (under 12, under 20, longer), and whether there are digits, capitals, separators."""
+    return 8 * ((len(span) >= 12) + (len(span) >= 20)) + 4 * any(x.isdigit() for x in span) + 2 * any(x.isupper() for x in span) + any(x in " -.:" for x in span)
+
+
+def word_before(text: str, start: int) -> int:
+    """A hash of the last word before a span, 0 where there is none."""
+    words = _BEFORE.findall(text[max(0, start - 24) : start].lower())
+    return 1 + zlib.crc32(words[-1].encode()) % (N_WORDS - 1) if words else 0
+
+
+def candidates(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, int, int, int, int, bool]]]:
+    """Base spans, and all candidates as (kind, start, end, code of the votes, code of shape and word before, whether base)."""
     chunks = [m.span() for m in _DIGITS.finditer(text)]
     base = base_spans(text, chunks)
     found = {(k, s, e): (1, 1 if k != "email" or text[s:e].rpartition(".")[2].lower() in ENDINGS else -1, True) for k in BASE_KINDS for s, e in base[k]}
@@ -176,7 +195,7 @@ def candidates(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[
         code = 0
         for vote in (strict, known, cue, border):
             code = 3 * code + vote + 1
-        out.append((KINDS.index(k), s, e, code, is_base))
+        out.append((KINDS.index(k), s, e, code, N_WORDS * shape_of(text[s:e]) + word_before(text, s), is_base))
     return base, sorted(out)
 
 
@@ -216,15 +235,24 @@ def reliabilities(counts: dict[tuple[int, int], float], rounds: int = 50) -> tup
     return dict(zip(keys, posterior.tolist(), strict=True)), chance
 
 
-def fit_classifier(counts: dict[tuple[int, int], float], posterior: dict[tuple[int, int], float], rounds: int = 60, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a logistic classifier over kind and votes, by Newton steps on posteriors weighted by the log of the counts."""
+def features(keys: list[tuple[int, int, int]]) -> np.ndarray:
+    """A row for each (kind, votes, shape and word): kind, both signs of each vote, shape and word, each as its own column."""
+    kind, code, seen = (np.array([k[j] for k in keys], int) for j in range(3))
+    votes = np.array([votes_of(x) for x in code.tolist()], int).reshape(-1, N_LABELERS)
+    return np.hstack([np.eye(len(KINDS))[kind], votes == 1, votes == -1, np.eye(N_SHAPES)[seen // N_WORDS], np.eye(N_WORDS)[seen % N_WORDS]]).astype(float)
+
+
+def fit_classifier(counts: dict[tuple[int, int, int], float], posterior: dict[tuple[int, int], float], rounds: int = 60, ridge: float = 0.5) -> np.ndarray:
+    """Weights of a logistic classifier, by Newton steps on posteriors weighted by the log of the counts, from votes that add up."""
     keys = sorted(counts)
-    x = np.array([features(k, c) for k, c in keys], float).reshape(-1, len(KINDS) + 2 * N_LABELERS)
-    y, w = np.array([posterior[k] for k in keys]), np.array([1 + np.log(counts[k]) for k in keys])
-    beta = np.zeros(x.shape[1])
-    beta[len(KINDS) :] = [1.0, -1.0] * N_LABELERS
+    beta = np.zeros(len(KINDS) + 2 * N_LABELERS + N_SHAPES + N_WORDS)
+    beta[len(KINDS) : len(KINDS) + N_LABELERS] = 1.0
+    beta[len(KINDS) + N_LABELERS : len(KINDS) + 2 * N_LABELERS] = -1.0
     prior = beta.copy()
-    for _ in range(rounds if len(keys) else 0):
+    if not keys:
+        return beta
+    x, y, w = features(keys), np.array([posterior[k[:2]] for k in keys]), np.array([1 + np.log(counts[k]) for k in keys])
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (w * (y - p)) - ridge * (beta - prior)
         step = np.linalg.solve((x.T * (w * p * (1 - p))) @ x + ridge * np.eye(len(beta)), grad)
@@ -232,16 +260,12 @@ def fit_classifier(counts: dict[tuple[int, int], float], posterior: dict[tuple[i
     return beta
 
 
-def features(kind: int, code: int) -> list[float]:
-    return [float(k == kind) for k in range(len(KINDS))] + [float(v == s) for v in votes_of(code) for s in (1, -1)]
-
-
-_SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, cands array<struct<kind:int,start:int,stop:int,code:int,base:boolean>>"
+_SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, cands array<struct<kind:int,start:int,stop:int,code:int,seen:int,base:boolean>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("code", pa.int32()), ("base", pa.bool_())]))
+        kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("code", pa.int32()), ("seen", pa.int32()), ("base", pa.bool_())]))
         for whole in batches:
             for low in range(0, whole.num_rows, 1000):
                 batch = whole.slice(low, 1000)
@@ -252,7 +276,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     for k, name in enumerate(BASE_KINDS):
                         counts[k].append(len(base[name]))
                     shas.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k in BASE_KINDS for s, e in base[k]).encode()).hexdigest())
-                    cands.append([dict(kind=k, start=s, stop=e, code=c, base=b) for k, s, e, c, b in found])
+                    cands.append([dict(kind=k, start=s, stop=e, code=c, seen=x, base=b) for k, s, e, c, x, b in found])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(cands, kind)], names=[f.partition(" ")[0] for f in _SCAN.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCAN)
@@ -261,11 +285,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: base counts, base_sha256, and found: array of (kind, start, end, p, base), non-overlapping outside base."""
     scanned = cut(scan(docs, id_col, text_col), "pii")
-    rows = scanned.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.code").count().collect()  # at most 81 rows a kind
-    counts = {(r["kind"], r["code"]): float(r["count"]) for r in rows}
-    posterior, _ = reliabilities(counts)
+    grouped = scanned.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.code", "c.seen").count()
+    counts = {(r["kind"], r["code"], r["seen"]): float(r["count"]) for r in grouped.collect()}  # bounded by the features' combinations
+    by_votes: dict[tuple[int, int], float] = {}
+    for key, n in counts.items():
+        by_votes[key[:2]] = by_votes.get(key[:2], 0.0) + n
+    posterior, _ = reliabilities(by_votes)
     beta = fit_classifier(counts, posterior)
-    chance = {key: float(1 / (1 + np.exp(-np.clip(np.dot(features(*key), beta), -30, 30)))) for key in counts}
+    keys = sorted(counts)
+    chance = dict(zip(keys, (1 / (1 + np.exp(-np.clip(features(keys) @ beta, -30, 30)))).tolist(), strict=True)) if keys else {}
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found array<struct<kind:string,start:int,stop:int,p:double,base:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +302,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = []
             for cands in batch.column(6).to_pylist():
                 took = [c for c in cands if c["base"]]
-                for c in sorted((c for c in cands if not c["base"] and chance[c["kind"], c["code"]] >= 0.5), key=lambda c: (c["start"], -c["stop"])):
+                for c in sorted((c for c in cands if not c["base"] and chance[c["kind"], c["code"], c["seen"]] >= 0.5), key=lambda c: (c["start"], -c["stop"])):
                     if all(c["stop"] <= t["start"] or t["stop"] <= c["start"] for t in took):
                         took.append(c)
                 took.sort(key=lambda c: (c["kind"], c["start"]))
-                out.append([dict(kind=KINDS[c["kind"]], start=c["start"], stop=c["stop"], p=chance[c["kind"], c["code"]], base=c["base"]) for c in took])
+                out.append([dict(kind=KINDS[c["kind"]], start=c["start"], stop=c["stop"], p=chance[c["kind"], c["code"], c["seen"]], base=c["base"]) for c in took])
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, kind)], names=[f.partition(" ")[0] for f in schema.split(", ")][:6] + ["found"])
 
     return scanned.mapInArrow(run, schema)
@@ -287,4 +315,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = F.concat_ws(",", F.transform("found", lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["stop"].cast("string"))))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"), F.size("found").cast("long").alias("n_spans"))

@@ -4,9 +4,11 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z became a-z. An item'
 shorter item with words is one window. Window hashes are looked up in sorted arrays behind a 16-bit presence table, and
 each hit is verified on the words themselves. A document word inside any occurrence is hit.
 
-The set is broadcast only up to MAX_WINDOWS windows (counted first); a larger benchmark is scanned in that many parts, one
-after another, with the hits so far written between the parts. Null texts have no words; null item ids are left out of the
-list of items but still hit; empty tables give no rows or no hits; repeated items count once; other columns pass through.
+The set is broadcast only up to about MAX_WINDOWS windows (counted first); a larger benchmark is scanned in that many parts,
+one after another, with the hits so far written between the parts. Longer items than that are cut into pieces that overlap by
+a window less one word, so that no part holds one whole. Null texts have no words; very long texts are read whole; null item
+ids are left out of the list of items but still hit; empty tables give no rows or no hits; repeated items count once, repeated
+documents each time; columns of any other names pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import textvec as tv
-from tidebar.llm.store import cut
+from tidebar.llm.store import cut, drop
 
 WINDOW = 13
 MAX_WINDOWS = 500_000
@@ -50,7 +52,7 @@ class Windows:
         for size, keys in sorted(sizes.items()):
             data, at = tv.utf8(pa.array([k.decode() for k in sorted(keys)]))
             starts, ends, _ = tv.spans(data, at, tv.ALNUM)
-            found = np.unique(tv.rolling(tv.span_hashes(tv.prefix(data), starts, ends), size)[::size])
+            found = np.unique(tv.rolling(tv.span_hashes(data, starts, ends), size)[::size])
             table = np.zeros(1 << 16, bool)
             table[(found >> np.uint64(48)).astype(np.int64)] = True
             self.hashes[size] = (found, table)
@@ -59,7 +61,7 @@ class Windows:
         """Words of each text, the text of each word, which words are hit, and (text, item) pairs."""
         data = tv.LOWER_AZ[data]
         starts, ends, text = tv.spans(data, at, tv.ALNUM)
-        hashes = tv.span_hashes(tv.prefix(data), starts, ends)
+        hashes = tv.span_hashes(data, starts, ends)
         cover, pairs = np.zeros(len(starts) + 1, np.int64), set()
         for size, (found, table) in self.hashes.items():
             grams = tv.rolling(hashes, size)
@@ -123,14 +125,25 @@ def _scan(docs: DataFrame, part: Windows, text_col: str) -> DataFrame:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with _words (their number), _runs (hit word places, start and end in turn) and _items (ids, as strings)."""
+    if taken := {"_words", "_runs", "_items"}.intersection(docs.columns):
+        raise ValueError(f"docs has columns named like the results: {sorted(taken)}")
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.size(F.regexp_extract_all(F.col("text"), F.lit(f"(?i)({_WORD})"), F.lit(1))))).first()[0] or 0
+    words = F.regexp_extract_all(F.col("text"), F.lit(f"(?i)({_WORD})"), F.lit(1))
+    items = items.withColumn("words", words).withColumn("n", F.size("words"))
+    total = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // max_windows))
+    starts = F.sequence(F.lit(1), F.greatest(F.col("n") - window + 1, F.lit(1)), F.lit(max_windows))
+    pieces = F.when(F.col("n") <= max_windows, F.array("text")).otherwise(F.transform(starts, lambda k: F.array_join(F.slice("words", k, max_windows + window - 1), " ")))
+    items = items.select("name", F.explode(pieces).alias("text"))
+    before = None
     for k in range(parts):
         some = items if parts == 1 else items.where(F.pmod(F.xxhash64("name", "text"), F.lit(parts)) == k)
         docs = _scan(docs, Windows([tuple(r) for r in some.collect()], window), text_col)  # at most about max_windows windows
         if k < parts - 1:
             docs = cut(docs, "decontaminate")
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
 
 
@@ -143,13 +156,16 @@ def is_contaminated(hits: DataFrame) -> DataFrame:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones."""
-    return is_contaminated(find_hits(docs, benchmark, text_col)).where(~F.col("_contaminated")).select(*docs.columns)
+    own = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    hits = is_contaminated(find_hits(docs.toDF(*own), benchmark, own[docs.columns.index(text_col)]))
+    return hits.where(~F.col("_contaminated")).select(*own).toDF(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs whose texts lack the hit words; what stands between words stays."""
-    names, at_runs = docs.columns, len(docs.columns)
-    text_at = names.index(text_col)
+    names, at_runs = [f"c{k}" for k in range(len(docs.columns))], len(docs.columns)
+    text_at = docs.columns.index(text_col)
+    renamed = docs.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +183,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
             columns[text_at] = pa.array(out, batch.schema.field(text_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return find_hits(docs, benchmark, text_col).select(*names, "_runs").mapInArrow(run, docs.schema)
+    return find_hits(renamed, benchmark, names[text_at]).select(*names, "_runs").mapInArrow(run, renamed.schema).toDF(*docs.columns)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

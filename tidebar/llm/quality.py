@@ -8,8 +8,9 @@ Each \\n-split line is judged by three rules, and a line that fails one is remov
 * boilerplate: a line of at most `boilerplate_words` words holds one of the phrases in BOILERPLATE.
 
 A document goes if its lines that stay hold less than half of its characters in words, or if a base rule fails (under
-20 words, or over 30 % of the words in repeated 8-word windows). Null texts count as empty and so fail; empty tables
-give empty results; repeated rows are judged one by one; columns besides id and text are ignored here.
+20 words, or over 30 % of the words in repeated 8-word windows). Null texts count as empty and so fail; very long texts and
+lines are read whole; empty tables give empty results; repeated rows are judged one by one; ids may be null or repeat; columns
+of any other names pass through keep_good and play no part in judge.
 """
 
 from __future__ import annotations
@@ -28,12 +29,18 @@ from tidebar.llm import textvec as tv
 BOILERPLATE = (
     "accept cookies",
     "all rights reserved",
+    "alle rechte vorbehalten",
     "cookie policy",
+    "datenschutzerkl\u00e4rung",
+    "pol\u00edtica de privacidad",
+    "politique de confidentialit\u00e9",
     "privacy policy",
     "sign up for our newsletter",
     "subscribe to our newsletter",
     "terms of service",
     "terms of use",
+    "todos los derechos reservados",
+    "tous droits r\u00e9serv\u00e9s",
 )
 SYMBOLS = b"#*$%&|<>"
 CLOSING = b".!?\":;"
@@ -60,10 +67,9 @@ def _repeat_words(hashes: np.ndarray, text: np.ndarray, n: int, width: int = 8)
 def _judge(data: np.ndarray, at: np.ndarray, nav_marks: int, boilerplate_words: int) -> dict[str, np.ndarray]:
     n = len(at) - 1
     starts, ends, text = tv.spans(data, at, tv.NOT_SPACE)
-    sums = tv.prefix(data)
     in_word = tv.NOT_SPACE[data] & tv.FIRST_BYTE[data]
     out = {"n_words": np.bincount(text, minlength=n), "word_chars": tv.per_text(in_word, at), "n_symbols": tv.per_text(_symbol[data], at)}
-    out["n_repeat_words"] = _repeat_words(tv.span_hashes(sums, starts, ends), text, n)
+    out["n_repeat_words"] = _repeat_words(tv.span_hashes(data, starts, ends), text, n)
 
     breaks = np.flatnonzero(data == 10)
     line_start = np.sort(np.concatenate([at[:-1], breaks + 1]))
@@ -72,7 +78,7 @@ def _judge(data: np.ndarray, at: np.ndarray, nav_marks: int, boilerplate_words:
     line_text = np.repeat(np.arange(n), per_line := np.bincount(np.searchsorted(at, breaks, side="right") - 1, minlength=n) + 1)
     words_in = np.searchsorted(starts, line_end) - np.searchsorted(starts, line_start)
     busy = words_in > 0
-    hashes = tv.span_hashes(sums, line_start[busy], line_end[busy])
+    hashes = tv.span_hashes(data, line_start[busy], line_end[busy])
     keyed = tv.mix(hashes + line_text[busy].astype(np.uint64) * np.uint64(tv.BASE))
     _, first = np.unique(keyed, return_index=True)
     out["n_dup_lines"] = np.bincount(line_text[busy], minlength=n) - np.bincount(line_text[busy][first], minlength=n)
@@ -138,10 +144,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nav_m
     return out if with_text else out.drop("clean_text")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns, their text without its bad lines. One pass, no shuffle."""
-    names = docs.columns
-    place, text_at = names.index(id_col), names.index(text_col)
+    rows = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # whatever the columns are called
+    text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,8 +159,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 columns[text_at] = pa.array(_clean(part, off, got["bad_spans"]), batch.schema.field(text_at).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(got["kept"], pa.bool_()))
 
-    assert place >= 0
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -171,11 +176,11 @@ lines AS (SELECT k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS marks, length(regexp_replace(line, '[^|]', '', 'g')) AS bars
   FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM t)),
 judged AS (SELECT *, n > 0 AND ((bars >= 3 AND 3 * bars >= n) OR 10 * marks > chars OR (n <= 2 AND NOT regexp_matches(line, '[.!?":;][\x20\x09-\x0D]*$'))
-  OR (n <= 20 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'accept cookies|all rights reserved|cookie policy|privacy policy|sign up for our newsletter|subscribe to our newsletter|terms of service|terms of use'))) AS bad FROM lines),
+  OR (n <= 20 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '@PHRASES@'))) AS bad FROM lines),
 per AS (SELECT k, count(*) AS n_lines, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines,
   coalesce(sum(chars) FILTER (NOT bad), 0)::BIGINT AS kept_chars, sum(chars)::BIGINT AS word_chars, sum(marks)::BIGINT AS n_symbols FROM judged GROUP BY k),
 counted AS (SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, n_lines, n_bad_lines, kept_chars
   FROM w JOIN per USING (k) LEFT JOIN covered c USING (k)),
 based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 SELECT *, NOT base_failed AND 2 * kept_chars >= word_chars AS kept FROM based
-"""
+""".replace("@PHRASES@", "|".join(BOILERPLATE))

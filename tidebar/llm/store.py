@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset (tests)."""
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder for a local master (tests); clusters are refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidebar-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        found = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tidebar-')}")
     return found.rstrip("/")
 
 

@@ -6,16 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.exprs import ahead, flag, full, guarded, over, past, series
+from tidebar.functions.recursive import ewm, linear, wilder, wilder_sum
 
 c = F.col
 
 
 def base(bars: DataFrame, atr: int = 14) -> DataFrame:
-    """Previous values, place, true range and its mean as atr."""
+    """Previous values, place, true range and Wilder's mean of it as atr."""
     w = series()
     out = bars.withColumns({"po": F.lag("open").over(w), "ph": F.lag("high").over(w), "pl": F.lag("low").over(w), "pc": F.lag("close").over(w), "row_idx": F.row_number().over(w)})
     out = out.withColumn("tr", F.greatest(c("high") - c("low"), F.abs(c("high") - c("pc")), F.abs(c("low") - c("pc"))))
-    return out.withColumn("atr", full(F.avg("tr").over(past(atr)), atr, c("row_idx")))
+    return linear(out, {"atr": wilder(c("tr"), atr)}).withColumn("atr", full(c("atr"), atr, c("row_idx")))
+
+
+def smoothed(b: DataFrame, width: int = 14) -> DataFrame:
+    """EMA, MACD with signal and histogram, RSI, ADX with both directional indices. Needs base."""
+    n, cl, pc = c("row_idx"), c("close"), c("pc")
+    up, down = c("high") - c("ph"), c("pl") - c("low")
+    plus, minus = F.when((up > down) & (up > 0), up).otherwise(0.0), F.when((down > up) & (down > 0), down).otherwise(0.0)
+    b = linear(
+        b,
+        {
+            **{f"_e{k}": ewm(cl, 2 / (k + 1)) for k in (12, 20, 26, 50)},
+            "_gain": ewm(F.when(cl > pc, cl - pc).otherwise(0.0), 1 / width),
+            "_loss": ewm(F.when(cl < pc, pc - cl).otherwise(0.0), 1 / width),
+            "_tr": wilder_sum(c("tr"), width, 2),
+            "_plus": wilder_sum(plus, width, 2),
+            "_minus": wilder_sum(minus, width, 2),
+        },
+    )
+    b = b.withColumns(
+        {
+            **{f"ema_{k}": full(c(f"_e{k}"), k, n) for k in (20, 50)},
+            "macd": full(c("_e12") - c("_e26"), 26, n),
+            "rsi_14": full(F.when(c("_loss") == 0, 100.0).otherwise(100 - 100 / (1 + over(c("_gain"), c("_loss")))), width, n),
+            "plus_di_14": full(100 * over(c("_plus"), c("_tr")), width + 1, n),
+            "minus_di_14": full(100 * over(c("_minus"), c("_tr")), width + 1, n),
+        }
+    )
+    b = b.withColumn("_dx", F.coalesce(100 * over(F.abs(c("plus_di_14") - c("minus_di_14")), c("plus_di_14") + c("minus_di_14")), F.lit(0.0)))
+    b = linear(b, {"macd_signal": ewm(c("macd"), 2 / 10, 26), "adx_14": wilder(c("_dx"), width, width + 1)})
+    b = b.withColumns({"macd_signal": full(c("macd_signal"), 34, n), "adx_14": full(c("adx_14"), 2 * width, n)})
+    return b.withColumn("macd_hist", c("macd") - c("macd_signal")).drop("_e12", "_e20", "_e26", "_e50", "_gain", "_loss", "_tr", "_plus", "_minus", "_dx")
 
 
 def price_blocks(b: DataFrame) -> DataFrame:
@@ -139,7 +171,7 @@ def regimes(b: DataFrame, sentiment: int = 5, z: int = 200) -> DataFrame:
     b = b.withColumns({"bb_width": guarded(c("bollinger_high") - c("bollinger_low"), c("close")), "vol_ratio": guarded(c("volume"), c("volume_ma_20"))})
 
     def score(name: str) -> Column:
-        return F.when(F.count(name).over(past(z)) >= 20, guarded(c(name) - F.avg(name).over(past(z)), F.stddev_pop(name).over(past(z))))
+        return F.when(F.count(name).over(past(z)) >= z, guarded(c(name) - F.avg(name).over(past(z)), F.stddev_pop(name).over(past(z))))
 
     b = b.withColumns({"atr_z": score("atr"), "bb_width_z": score("bb_width")})
     return b.withColumns(
@@ -157,7 +189,7 @@ def regimes(b: DataFrame, sentiment: int = 5, z: int = 200) -> DataFrame:
 
 
 def structure(b: DataFrame, wing: int = 3) -> DataFrame:
-    """Confirmed swings, breaks of structure, sweeps, gaps and order-block candidates. A swing shows `wing` bars after it."""
+    """Confirmed swings, breaks and changes of structure, sweeps. A swing shows `wing` bars after it."""
     w, n = series(), c("row_idx")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     hs, ls = F.lag("high", wing).over(w), F.lag("low", wing).over(w)
@@ -169,8 +201,7 @@ def structure(b: DataFrame, wing: int = 3) -> DataFrame:
     b = b.withColumns({"bos_up": flag((cl > c("_h")) & (pc <= c("_h"))), "bos_dn": flag((cl < c("_l")) & (pc >= c("_l")))})
     b = b.withColumn("structure_state", F.coalesce(F.last(F.when(c("bos_up") == 1, 1).when(c("bos_dn") == 1, -1), True).over(running), F.lit(0)))
     before = F.coalesce(F.lag("structure_state").over(w), F.lit(0))
-    h2, l2 = F.lag("high", 2).over(w), F.lag("low", 2).over(w)
-    b = b.withColumns(
+    return b.withColumns(
         {
             "choch_up": flag((c("bos_up") == 1) & (before == -1)),
             "choch_dn": flag((c("bos_dn") == 1) & (before == 1)),
@@ -178,14 +209,8 @@ def structure(b: DataFrame, wing: int = 3) -> DataFrame:
             "sweep_low": flag((c("low") < c("pl")) & (cl > c("pl"))),
             "swing_sweep_high": flag((c("high") > c("_h")) & (cl < c("_h"))),
             "swing_sweep_low": flag((c("low") < c("_l")) & (cl > c("_l"))),
-            "fvg_up": flag((c("low") > h2) & (guarded(c("low") - h2, c("atr")) >= 0.1)),
-            "fvg_dn": flag((c("high") < l2) & (guarded(l2 - c("high"), c("atr")) >= 0.1)),
         }
-    )
-    strong = guarded(F.abs(cl - c("open")), c("atr")) >= 0.8
-    b = b.withColumns({"bull_ob_event": flag((c("bos_up") == 1) & strong), "bear_ob_event": flag((c("bos_dn") == 1) & strong)})
-    b = b.withColumns({"bull_ob_low": F.last(F.when(c("bull_ob_event") == 1, c("pl")), True).over(running), "bull_ob_high": F.last(F.when(c("bull_ob_event") == 1, c("ph")), True).over(running)})
-    return b.withColumn("in_bull_ob", flag((c("low") <= c("bull_ob_high")) & (c("high") >= c("bull_ob_low")))).drop("_h", "_l")
+    ).drop("_h", "_l")
 
 
 def sessions(b: DataFrame) -> DataFrame:
@@ -196,28 +221,35 @@ def sessions(b: DataFrame) -> DataFrame:
 
     b = b.withColumns({"hour_utc": F.hour("time"), "minute_utc": F.minute("time"), "hour_brt": F.hour(at("America/Sao_Paulo")), "hour_london": F.hour(at("Europe/London")), "hour_ny": F.hour(at("America/New_York")), "day_of_week": F.weekday("time"), "date_brt": F.to_date(at("America/Sao_Paulo"))})
     b = b.withColumns({"in_asia_session": flag(c("hour_london") < 8), "in_london_session": flag(c("hour_london").between(8, 11)), "in_ny_session": flag(c("hour_ny").between(8, 16)), "london_killzone": flag(c("hour_london").between(7, 9)), "ny_killzone": flag(c("hour_ny").between(8, 10))})
-    name = F.when(c("in_london_session") == 1, "LONDON").when(c("in_ny_session") == 1, "NEW_YORK").when(c("in_asia_session") == 1, "ASIA").otherwise("OFF")
+    name = F.when(c("in_ny_session") == 1, "NEW_YORK").when(c("in_london_session") == 1, "LONDON").when(c("in_asia_session") == 1, "ASIA").otherwise("OFF_SESSION")
+    b = b.withColumns({"is_london_open_bar": flag((c("hour_london") == 8) & (F.minute(at("Europe/London")) == 0)), "is_ny_open_bar": flag((c("hour_ny") == 8) & (F.minute(at("America/New_York")) == 0))})
     day = Window.partitionBy("symbol", "date_brt").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     return b.withColumns({"session_name": name, "session_high": F.max("high").over(day), "session_low": F.min("low").over(day)})
 
 
-def forward_outcomes(b: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12)) -> DataFrame:
-    """For each horizon in bars: what followed, against the candle's own direction. Bars without a full future count as false."""
+#: Distances in atr that adverse and favourable moves are held against.
+PULLBACKS, REACHES = {"0p25": 0.25, "0p50": 0.5}, {"0p50": 0.5, "1p00": 1.0, "1p50": 1.5}
+
+
+def forward_outcomes(b: DataFrame, horizons: tuple[int, ...] = (1, 2, 3, 6, 12, 24)) -> DataFrame:
+    """For each horizon in bars: what followed, in the candle's own direction; flat candles have no direction.
+
+    The extremes are those of the bars that are there; a return needs the last bar of its horizon.
+    """
     w = series()
-    side = F.signum(c("close") - c("open"))
-    b = b.withColumn("side", side.cast("int"))
+    b = b.withColumn("side", F.signum(c("close") - c("open")).cast("int"))
+    up, down = c("side") > 0, c("side") < 0
     adds = {}
     for k in horizons:
-        up = F.max("high").over(ahead(k)) - c("close")
-        down = c("close") - F.min("low").over(ahead(k))
-        good, bad = F.when(c("side") >= 0, up).otherwise(down), F.when(c("side") >= 0, down).otherwise(up)
+        rise, fall = F.max("high").over(ahead(k)) - c("close"), c("close") - F.min("low").over(ahead(k))
+        fav, adv = over(F.when(up, rise).when(down, fall), c("atr")), over(F.when(up, fall).when(down, rise), c("atr"))
         ret = F.lead("close", k).over(w) - c("close")
         adds |= {
-            f"h{k}_ret_atr": over(ret, c("atr")),
-            f"h{k}_mfe_atr": over(F.greatest(good, F.lit(0.0)), c("atr")),
-            f"h{k}_mae_atr": over(F.greatest(bad, F.lit(0.0)), c("atr")),
-            f"h{k}_continues": flag(((c("side") > 0) & (ret > 0)) | ((c("side") < 0) & (ret < 0))),
-            f"h{k}_pullback_0p50": flag(bad >= 0.5 * c("atr")),
-            f"h{k}_reach_1atr": flag(good >= c("atr")),
+            f"h{k}_fav_atr": fav,
+            f"h{k}_adv_atr": adv,
+            f"h{k}_continues": flag((up & (ret > 0)) | (down & (ret < 0))),
+            f"h{k}_reverses": flag((up & (ret < 0)) | (down & (ret > 0))),
+            **{f"h{k}_pullback_{n}": flag(adv >= x) for n, x in PULLBACKS.items()},
+            **{f"h{k}_reaches_{n}": flag(fav >= x) for n, x in REACHES.items()},
         }
     return b.withColumns(adds)

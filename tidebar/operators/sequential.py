@@ -1,29 +1,13 @@
-"""Operators whose state depends on the path: one pandas group a symbol, as bars of a symbol are bounded by its history."""
+"""Operators whose state depends on the path and is not linear: one pandas group a key, as a key's rows are bounded by its history."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RECURSIVE = "symbol string, time timestamp_ntz, ema_20 double, ema_50 double, macd double, macd_signal double, rsi_14 double, atr_14 double, adx_14 double, psar double"
-MEMORY = "symbol string, time timestamp_ntz, side string, cycle int, attempt int, event string"
-
-
-def _smooth(x: np.ndarray, alpha: float) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    acc = np.nan
-    for i, v in enumerate(x):
-        acc = v if np.isnan(acc) else acc + alpha * (v - acc)
-        out[i] = acc
-    return out
-
-
-def _after(x: np.ndarray, n: int) -> np.ndarray:
-    x = x.copy()
-    x[: n - 1] = np.nan
-    return x
-
 
 def parabolic_sar(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:
     if not len(high):
@@ -41,81 +25,91 @@ def parabolic_sar(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: f
     return out
 
 
-def _recursive(g: pd.DataFrame) -> pd.DataFrame:
-    g = g.sort_values("time")
-    h, lo, cl = (g[k].to_numpy(float) for k in ("high", "low", "close"))
-    pc = np.concatenate([[np.nan], cl[:-1]])
-    tr = np.fmax(h - lo, np.fmax(np.abs(h - pc), np.abs(lo - pc)))
-    gain, loss = np.where(cl > pc, cl - pc, 0.0), np.where(cl < pc, pc - cl, 0.0)
-    up, down = np.diff(h, prepend=h[:1]), -np.diff(lo, prepend=lo[:1])
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rsi = 100 - 100 / (1 + _smooth(gain, 1 / 14) / _smooth(loss, 1 / 14))
-        base = _smooth(tr, 1 / 14)
-        pdi, mdi = 100 * _smooth(plus, 1 / 14) / base, 100 * _smooth(minus, 1 / 14) / base
-        dx = np.nan_to_num(100 * np.abs(pdi - mdi) / (pdi + mdi))
-    atr = np.full(len(tr), np.nan)
-    if len(tr) >= 14:
-        atr[13] = tr[:14].mean()
-        for i in range(14, len(tr)):
-            atr[i] = (13 * atr[i - 1] + tr[i]) / 14
-    macd = _smooth(cl, 2 / 13) - _smooth(cl, 2 / 27)
-    out = g[["symbol", "time"]].assign(ema_20=_after(_smooth(cl, 2 / 21), 20), ema_50=_after(_smooth(cl, 2 / 51), 50), macd=_after(macd, 26), macd_signal=_after(_smooth(macd, 0.2), 34), rsi_14=_after(rsi, 14), atr_14=atr, adx_14=_after(_smooth(dx, 1 / 14), 27), psar=parabolic_sar(h, lo))
-    return out.replace({np.nan: None})
-
-
-def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """EMA, MACD, RSI, Wilder's ATR, ADX and parabolic SAR."""
-    return bars.groupBy("symbol").applyInPandas(_recursive, RECURSIVE)
-
-
-def thin(events: DataFrame, gap: int | str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Of events (row_idx, keys, ...) each that is `gap` bars (a number, or a column that keys hold) or more after the last one kept of its keys."""
+def with_sar(bars: DataFrame) -> DataFrame:
+    """symbol, time and psar of bars."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, kept, last = g.sort_values("row_idx"), [], None
-        step = g[gap].iloc[0] if isinstance(gap, str) else gap
-        for i, k in enumerate(g["row_idx"]):
-            if last is None or k >= last + step:
-                kept.append(i)
-                last = k
-        return g.iloc[kept]
+        g = g.sort_values("time")
+        return g[["symbol", "time"]].assign(psar=parabolic_sar(g["high"].to_numpy(float), g["low"].to_numpy(float)))
+
+    return bars.select("symbol", "time", "high", "low").groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz, psar double")
+
+
+def kept_apart(places: Sequence, gap) -> list[int]:
+    """Which of ascending places stand `gap` or more after the last one kept: the next is found by bisection."""
+    values = np.asarray(places)
+    kept, i = [], 0
+    while i < len(values):
+        kept.append(i)
+        i = int(np.searchsorted(values, values[i] + gap, side="left"))
+    return kept
+
+
+def thin(events: DataFrame, gap: int | str, keys: tuple[str, ...] = ("symbol",), place: str = "row_idx") -> DataFrame:
+    """Of events each whose place is `gap` (a number, or a column that the keys hold) or more after the last one kept of its keys."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(place)
+        return g.iloc[kept_apart(g[place].to_numpy(), g[gap].iloc[0] if isinstance(gap, str) else gap)]
 
     return events.groupBy(*keys).applyInPandas(run, events.schema)
 
 
-def _memory(g: pd.DataFrame, tolerance: float = 0.3, away: float = 0.35, accept: float = 0.3, reentry: int = 2, expiry: int = 96) -> pd.DataFrame:
-    """Attempts at the last confirmed swing levels: NEW_LEVEL, ATTEMPT, ACCEPTED and EXPIRED, for both sides."""
-    g, out = g.sort_values("time"), []
-    for side, level_col, sign in (("UP", "last_swing_high", 1), ("DOWN", "last_swing_low", -1)):
-        level, cycle, attempt, last, left, beyond = None, 0, 0, 0, False, 0
-        for i, r in enumerate(g.itertuples()):
-            atr, fresh = r.atr, getattr(r, level_col)
-            if atr is None or not atr > 0:
-                continue
-            if level is not None and i - last > expiry:
-                out.append((r.symbol, r.time, side, cycle, attempt, "EXPIRED"))
-                level = None
-            if level is not None:
-                distance = sign * (r.close - level) / atr
-                left |= distance < -away
-                beyond = beyond + 1 if distance > accept else 0
-                if beyond == 2:
-                    out.append((r.symbol, r.time, side, cycle, attempt, "ACCEPTED"))
-                    level = None
-                    continue
-            if fresh is None or fresh != fresh or sign * ((r.high if sign > 0 else r.low) - fresh) < -tolerance * atr:
-                continue
-            if level is None or abs(fresh - level) > tolerance * atr:
-                level, cycle, attempt, left, beyond = fresh, cycle + 1, 1, False, 0
-                out.append((r.symbol, r.time, side, cycle, attempt, "NEW_LEVEL"))
-            elif left and i - last >= reentry:
-                attempt, left = attempt + 1, False
-                out.append((r.symbol, r.time, side, cycle, attempt, "ATTEMPT"))
-            last = i
-    return pd.DataFrame(out, columns=["symbol", "time", "side", "cycle", "attempt", "event"])
-
-
-def level_memory(structured: DataFrame) -> DataFrame:
-    """From bars with structure columns."""
-    return structured.groupBy("symbol").applyInPandas(lambda g: _memory(g), MEMORY)
+def cooled(rows: DataFrame, keys: tuple[str, ...], width: str, place: str, shared: bool = True) -> DataFrame:
+    """Of break-outs in the order of width and place those later than the last one kept by more than max(2, width // 5) bars.
+
+    shared: the last one kept counts for all widths, so that few of a larger width pass once a smaller one came to the end.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g, kept, last = g.sort_values([width, place]), [], {}
+        for i, (w, k) in enumerate(zip(g[width], g[place], strict=True)):
+            of = None if shared else w
+            if of not in last or k > last[of] + max(2, w // 5):
+                kept.append(i)
+                last[of] = k
+        return g.iloc[kept]
+
+    return rows.groupBy(*keys).applyInPandas(run, rows.schema)
+
+
+ATTEMPTS = "symbol string, side string, episode int, attempt_number int, event_time timestamp_ntz, row_idx int, level double, event_level double, atr double, break_mode string, accepted boolean, recoil_before_attempt_atr double, recoil_ratio_vs_previous double, compression_before_attempt boolean"
+
+
+def attempt_episodes(events: DataFrame, bars: DataFrame, max_gap: int, tolerance: float) -> DataFrame:
+    """Attempts at one level, in episodes: an event goes on with an episode that is `max_gap` bars old at most and near in level.
+
+    A close beyond the level ends its episode. Before each attempt after a failed one, the recoil is how far price went back
+    from the episode's level since; a smaller one than before is compression.
+    """
+    ends = ["low", "high"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("row_idx")
+        place = right["row_idx"].to_numpy()
+        low, high = (right[n].to_numpy(float) for n in ends)
+        out, episode = [], 0
+        for side, group in left.groupby("side"):
+            open_ = None
+            for ev in group.sort_values("row_idx").itertuples(index=False):
+                if open_ is None or ev.row_idx - open_["last"] > max_gap or abs(ev.level - open_["level"]) / max(ev.atr, 1e-12) > tolerance:
+                    episode += 1
+                    open_ = {"level": ev.level, "n": 0, "failed": None, "recoil": np.nan}
+                recoil = ratio = np.nan
+                tighter = False
+                if open_["failed"] is not None:
+                    a, b = np.searchsorted(place, [open_["failed"] + 1, ev.row_idx + 1])
+                    if b > a:
+                        recoil = (open_["level"] - low[a:b].min() if side == "BUY" else high[a:b].max() - open_["level"]) / ev.atr
+                        if open_["recoil"] > 0:
+                            ratio, tighter = recoil / open_["recoil"], bool(recoil < open_["recoil"])
+                accepted = ev.break_mode == "CLOSE_BREAK"
+                open_["n"] += 1
+                out.append((ev.symbol, side, episode, open_["n"], ev.time, ev.row_idx, open_["level"], ev.level, ev.atr, ev.break_mode, accepted, recoil, ratio, tighter))
+                open_ |= {"last": ev.row_idx, "failed": ev.row_idx, "recoil": recoil if np.isfinite(recoil) else open_["recoil"]}
+                if accepted:
+                    open_ = None
+        made = pd.DataFrame(out, columns=[f.partition(" ")[0] for f in ATTEMPTS.split(", ")])
+        return made.astype(object).where(made.notna(), None)
+
+    return events.groupBy("symbol").cogroup(bars.select("symbol", "row_idx", *ends).groupBy("symbol")).applyInPandas(run, ATTEMPTS)

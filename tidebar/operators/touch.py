@@ -48,6 +48,23 @@ def both_sides(b: DataFrame, target: float = 1.0, stop: float = 0.5, bars: int =
     return b.drop("_next")
 
 
+def with_extremes(b: DataFrame, way: str, target: float, stop: float) -> DataFrame:
+    """First touch of one direction ("up" or "down") over the bars in _next, with bars to it and the extremes up to it, that bar included."""
+    side = F.lit(1 if way == "up" else -1)
+    label, place = first_touch(c("_next"), c("close"), target * c("atr"), stop * c("atr"), side)
+    ready = F.coalesce(c("atr") > 0, F.lit(False))
+    name = f"{way}_{stop:g}"
+    b = b.withColumns({"_label": label, "_place": F.when(ready, place)})
+    seen = F.filter("_next", lambda x: x["k"] <= c("_place"))
+
+    def most(value) -> Column:
+        return F.when(c("_place").isNotNull(), F.round(F.greatest(F.lit(0.0), F.array_max(F.transform(seen, value)) / c("atr")), 5))
+
+    high, low = most(lambda x: x["high"] - c("close")), most(lambda x: c("close") - x["low"])
+    adverse, favorable = (low, high) if way == "up" else (high, low)
+    return b.withColumns({f"first_touch_{name}": F.when(ready, c("_label")).otherwise("INVALID"), f"bars_to_result_{name}": c("_place") - c("row_idx").cast("long"), f"adverse_before_target_{name}": adverse, f"favorable_before_stop_{name}": favorable}).drop("_label", "_place")
+
+
 def pullback_entry(b: DataFrame, back: float = 0.25, target: float = 1.0, stop: float = 0.5, bars: int = 12) -> DataFrame:
     """A limit `back` atr behind the close; target and stop are tested from the bar that fills it on."""
     side = F.signum(c("close") - c("open"))
@@ -62,9 +79,9 @@ def pullback_entry(b: DataFrame, back: float = 0.25, target: float = 1.0, stop:
 
 
 def triple_barrier(b: DataFrame, target: float = 1.5, stop: float = 1.0, timeout: int = 12) -> DataFrame:
-    """Entry at the next close; the entry bar itself is scanned; both in one bar is a stop."""
+    """Entry at the next close; the entry bar itself is scanned; both in one bar is a stop; what runs out leaves at the last close of its time."""
     side = F.signum(c("close") - c("open"))
-    b = b.withColumns({"_entry": F.lead("close").over(series()), "_next": coming(timeout + 1), "_exit": F.lead("close", timeout + 1).over(series())})
+    b = b.withColumns({"_entry": F.lead("close").over(series()), "_next": coming(timeout + 1)}).withColumn("_exit", F.try_element_at("_next", F.lit(-1))["close"])
     label, place = first_touch(c("_next"), c("_entry"), target * c("atr"), stop * c("atr"), side, "SL_FIRST")
     ready = F.coalesce((c("atr") > 0) & (side != 0) & c("_entry").isNotNull(), F.lit(False))
     kind = F.when(~ready, "NO_TRADE").when(label == "TP_FIRST", "TP").when(label == "SL_FIRST", "SL").otherwise("TIMEOUT")

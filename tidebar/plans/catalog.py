@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidebar.plans import bars_and_features, paths, research
+from tidebar.plans import bars_and_features, blocks, chronos, figures, micro, paths, profile, registry, research, tables
 
-_PARTS = (bars_and_features, research, paths)
+_PARTS = (bars_and_features, blocks, research, chronos, figures, micro, profile, registry, tables, paths)
 
 
 def queries() -> dict[str, Callable]:

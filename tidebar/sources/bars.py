@@ -18,19 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_bars(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """Bars of a Parquet, ORC, CSV or JSON path, conformed to BAR_SCHEMA."""
-    reader = spark.read.option("header", True) if kind == "csv" else spark.read
+def read_bars(spark: SparkSession, path: str, kind: str = "parquet", multi_line: bool = False) -> DataFrame:
+    """Bars of a Parquet, ORC, CSV or JSON path, conformed to BAR_SCHEMA. CSV columns are read by their header and cast; JSON may hold one object over many lines."""
+    reader = spark.read.option("header", True).option("enforceSchema", False) if kind == "csv" else spark.read.option("multiLine", multi_line) if kind == "json" else spark.read
     return conform(reader.format(kind).load(path))
 
 
+VOLUME_NAMES = ("volume", "tick_volume", "real_volume")
+
+
 def conform(df: DataFrame) -> DataFrame:
-    """The columns of BAR_SCHEMA: the time column found by name, absent columns null, not-a-number and infinities null."""
+    """The columns of BAR_SCHEMA: time and volume found by name, absent columns null, not-a-number and infinities null."""
     lower = {c.lower(): c for c in df.columns}
-    found = next((lower[n] for n in TIME_NAMES if n in lower), None)
+    named = {"time": next((lower[n] for n in TIME_NAMES if n in lower), None), "volume": next((lower[n] for n in VOLUME_NAMES if n in lower), None)}
     out = []
     for field in BAR_SCHEMA:
-        name = found if field.name == "time" else lower.get(field.name)
+        name = named.get(field.name, lower.get(field.name))
         value = F.col(f"`{name}`").cast(field.dataType) if name else F.lit(None).cast(field.dataType)
         if field.dataType == DoubleType():
             value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
@@ -43,11 +46,12 @@ def write_bars(bars: DataFrame, path: str) -> None:
     bars.write.mode("overwrite").option("compression", "zstd").partitionBy("symbol", "timeframe").parquet(path)
 
 
-def bars_from_ticks(ticks: DataFrame, symbol: Column, ts: Column, price: Column, width: str, order: Column, volume: Column | None = None) -> DataFrame:
-    """Tumbling bars; order tells which of a bar's ticks is first and last. Empty bars are absent. Sums combine map-side."""
-    rows = ticks.select(symbol.alias("symbol"), F.window(ts, width)["start"].alias("time"), price.alias("price"), order.alias("ord"), (F.lit(1) if volume is None else volume).alias("vol"))
+def bars_from_ticks(ticks: DataFrame, symbol: Column, ts: Column, price: Column, width: str, order: Column, volume: Column | None = None, spread: Column | None = None) -> DataFrame:
+    """Tumbling bars; order tells which of a bar's ticks is first and last. Empty bars are absent. Sums combine map-side. A spread is the last tick's."""
+    rows = ticks.select(symbol.alias("symbol"), F.window(ts, width)["start"].alias("time"), price.alias("price"), order.alias("ord"), (F.lit(1) if volume is None else volume).alias("vol"), *([] if spread is None else [spread.alias("spread")]))
     return rows.groupBy("symbol", "time").agg(
-        F.min_by("price", "ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ord").alias("close"), F.sum("vol").cast("long").alias("volume")
+        F.min_by("price", "ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ord").alias("close"), F.sum("vol").cast("long").alias("volume"),
+        *([] if spread is None else [F.max_by("spread", "ord").alias("spread")]),
     )
 
 
@@ -62,6 +66,27 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
+def drop_live(bars: DataFrame) -> DataFrame:
+    """Bars that are over; those without the flag count as over."""
+    return bars.where(F.coalesce(F.col("is_live_bar").cast("int"), F.lit(0)) == 0)
+
+
+def keep_best(df: DataFrame, keys: list[str], quality: str, order: list[Column]) -> DataFrame:
+    """Of rows with equal keys the one of the best quality, of these the first in the given order."""
+    best = Window.partitionBy(*keys).orderBy(F.col(quality).desc_nulls_last(), *order)
+    return df.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have all of these columns."""
+    return df.dropna(subset=columns)
+
+
+def of_symbol(df: DataFrame, symbol: str) -> DataFrame:
+    """Rows of a symbol, in letters of either case."""
+    return df.where(F.upper("symbol") == symbol.upper())
+
+
 def drop_unchanged(bars: DataFrame) -> DataFrame:
     """Rows whose open, high, low or close differs from the row before."""
     w = Window.partitionBy("symbol").orderBy("time")

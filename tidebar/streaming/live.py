@@ -1,9 +1,15 @@
-"""Live bars from a stream of ticks: deduplicated in the watermark, one open bar a symbol, stale bars marked."""
+"""Live bars from a stream of ticks, and state over a stream of bars. Results go to tables in a shared folder, not to the driver."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidebar.operators import memory
 
 
 def ticks(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -20,12 +26,41 @@ def live_bars(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -
 
 
 def freshness(time: Column, now: Column, minutes: int = 30) -> Column:
-    return F.when(F.unix_timestamp(now) - F.unix_timestamp(time) <= minutes * 60, "FRESH").otherwise("STALE")
+    return F.when(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(time.cast("timestamp")) <= minutes * 60, "FRESH").otherwise("STALE")
+
+
+def run_once(bars: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there and return the last version of each bar.
+
+    Each batch is written to a folder of its own number, so that a batch that runs again after a failure writes over itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/n={number}")
+
+    bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = bars.sparkSession.read.parquet(path)
+    newest = F.struct("batch", "volume")
+    return out.groupBy("symbol", "time").agg(*[F.max_by(c, newest).alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+_INPUT = "symbol string, time timestamp_ntz, high double, low double, close double, atr double, energy_score double, range_atr double, breakout_up int, breakout_down int, false_breakout_up int, false_breakout_down int, sweep_high int, sweep_low int"
+
+
+def _remember(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    kept = memory.LevelMemory(state.get[0] if state.exists else None)
+    yield memory.rows_of(kept, pd.concat(list(parts), ignore_index=True))  # one batch of one symbol
+    state.update((kept.saved(),))
+
+
+def remembered(spark: SparkSession, source: str, path: str, checkpoint: str, files_a_batch: int | None = None) -> DataFrame:
+    """level_memory over a stream of bars: a state of a few numbers a symbol, saved with the checkpoint."""
+    reader = spark.readStream.schema(_INPUT)
+    bars = (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(source)
+    rows = bars.groupBy("symbol").applyInPandasWithState(_remember, memory.OUTPUT, "saved string", "append", GroupStateTimeout.NoTimeout)
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/n={number}")
 
-def run_once(bars: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Process what is there into a memory table and return the last version of each bar."""
-    query = bars.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = bars.sparkSession.table(name)
-    return out.groupBy("symbol", "time").agg(*[F.max_by(c, "volume").alias(c) for c in ("open", "high", "low", "close")], F.max("volume").alias("volume"))
+    rows.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return memory.without_nan(spark.read.schema(memory.OUTPUT).parquet(path))

@@ -193,7 +193,8 @@ def test_zones_equal_plain_fold(spark):
                 zones.append({"members": [], "price": level})
             z = zones[-1]
             z["members"].append((level, tf, kind))
-            z["price"] = sum(x * fig.WEIGHTS[n] for x, _, n in z["members"]) / sum(fig.WEIGHTS[n] for _, _, n in z["members"])
+            if len(z["members"]) > 1:
+                z["price"] = sum(x * fig.WEIGHTS[n] for x, _, n in z["members"]) / sum(fig.WEIGHTS[n] for _, _, n in z["members"])
         aligned = [z for z in zones if abs(z["price"] - edge) / atr <= fig.ALIGNED]
         ahead = [z for z in zones if (z["price"] > edge) == (side == "UP") and fig.ALIGNED < abs(z["price"] - edge) / atr <= fig.OBSTACLE]
         assert got[k]["htf_zone_count"] == len(zones)

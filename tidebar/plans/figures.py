@@ -1,4 +1,4 @@
-"""Queries over chart figures: standing ones, break-outs, retests, zones of larger bars and outcomes by wall clock."""
+"""Queries over chart figures (on a price that walks, as the test ticks don't follow from each other): standing ones, break-outs, retests, zones of larger bars and outcomes by wall clock."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions import exprs as e
-from tidebar.operators import asof
+from tidebar.operators import asof, features
 from tidebar.operators import figures as fig
 from tidebar.plans import sqlparts as q
-from tidebar.plans.bars_and_features import base, rounded
+from tidebar.plans.bars_and_features import rounded
 from tidebar.sources import bars as src
 
 c = F.col
@@ -28,12 +28,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _walk(spark, d) -> DataFrame:
+    return src.walked(src.event_bars(spark, d, WIDTH))
+
+
 def _bars(spark, d) -> DataFrame:
-    return base(spark, d, WIDTH).withColumn("vol_ratio", e.full(e.guarded(c("volume"), F.avg("volume").over(e.past(20))), 20, c("row_idx")))
+    return features.base(_walk(spark, d)).withColumn("vol_ratio", e.full(e.guarded(c("volume"), F.avg("volume").over(e.past(20))), 20, c("row_idx")))
 
 
 def _standing_sql() -> str:
-    parts = [q.bars(WIDTH), q.base(), f"bb AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN row_idx >= 20 THEN volume / (avg(volume) OVER {q.past(20)} + 1e-9) END AS vol_ratio FROM b)"]
+    parts = [q.bars(WIDTH, "raw"), q.walked(), q.base(), f"bb AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN row_idx >= 20 THEN volume / (avg(volume) OVER {q.past(20)} + 1e-9) END AS vol_ratio FROM b)"]
     for w in fig.WINDOWS:
         lines = ", ".join(f"regr_slope({y}, row_idx) OVER {q.past(w)} AS {s}s, regr_intercept({y}, row_idx) OVER {q.past(w)} + regr_slope({y}, row_idx) OVER {q.past(w)} * (row_idx - {w - 1}) AS {s}0, coalesce(regr_r2({y}, row_idx) OVER {q.past(w)}, 1) AS {s}r" for s, y in (("u", "high"), ("d", "low")))
         nxt = ", ".join(f"lead({x}) OVER {q.W} AS next_{x}" for x in ("close", "atr", "time", "row_idx", "vol_ratio"))
@@ -93,7 +97,7 @@ def _zoned(spark, d) -> DataFrame:
     up = c("breakout_side") == "UP"
     levels = []
     for n, w in ABOVE.items():
-        b = fig.swings(src.event_bars(spark, d, w)).withColumns({"high_6": F.max("high").over(e.past(6)), "low_6": F.min("low").over(e.past(6))})
+        b = fig.swings(src.resampled(_walk(spark, d), w)).withColumns({"high_6": F.max("high").over(e.past(6)), "low_6": F.min("low").over(e.past(6))})
         x = asof.asof_backward(x, b, "symbol", "breakout_time", "time", ["high", "low", "high_6", "low_6"], f"{n}_", w)
         x = asof.asof_backward(x, b, "symbol", "breakout_time", "time", ["swing_up", "swing_down"], f"{n}_")
         for kind, above, below in (("PREVIOUS", "high", "low"), ("RANGE", "high_6", "low_6"), ("SWING", "swing_up", "swing_down")):

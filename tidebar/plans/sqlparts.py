@@ -5,6 +5,10 @@ def bars(width: str = "1 hour", name: str = "bars") -> str:
     return f"{name} AS (SELECT event_type AS symbol, time_bucket(INTERVAL '{width}', ts) AS time, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2)"
 
 
+def walked(source: str = "raw", name: str = "bars") -> str:
+    return f"{name} AS MATERIALIZED (SELECT symbol, time, walk - m AS open, greatest(walk - m, walk) + (high - greatest(open, close)) / 200 AS high, least(walk - m, walk) - (least(open, close) - low) / 200 AS low, walk AS close, volume FROM (SELECT *, (close - open) / 50 AS m, 100 + sum((close - open) / 50) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS walk FROM {source}))"
+
+
 def base(source: str = "bars", name: str = "b") -> str:
     """Needs WITH RECURSIVE: Wilder's mean goes from row to row."""
     return f"""{name}0 AS (SELECT *, lag(open) OVER w AS po, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc, row_number() OVER w AS row_idx FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY time)),

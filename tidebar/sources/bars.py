@@ -60,6 +60,24 @@ def event_bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataF
     return bars_from_ticks(table(spark, sf_dir, "events"), F.col("event_type"), F.col("ts"), F.col("value"), width, F.col("event_id"))
 
 
+def resampled(bars: DataFrame, width: str) -> DataFrame:
+    """Bars of a larger width from smaller ones: first, max, min, last and sum. Empty bars are absent."""
+    at = F.window("time", width)["start"]
+    return bars.groupBy("symbol", at.alias("at")).agg(F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("at", "time")
+
+
+def walked(bars: DataFrame) -> DataFrame:
+    """A price that goes on from bar to bar: the bars' moves (a fiftieth) added up, with a two-hundredth of their wicks.
+
+    For data whose bars do not follow from each other, as chart figures need a price that does.
+    """
+    w = Window.partitionBy("symbol").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    move = (F.col("close") - F.col("open")) / 50
+    b = bars.withColumns({"_m": move, "_up": (F.col("high") - F.greatest("open", "close")) / 200, "_dn": (F.least("open", "close") - F.col("low")) / 200})
+    b = b.withColumn("_at", 100 + F.sum("_m").over(w)).withColumn("_from", F.col("_at") - F.col("_m"))
+    return b.select("symbol", "time", F.col("_from").alias("open"), (F.greatest("_from", "_at") + F.col("_up")).alias("high"), (F.least("_from", "_at") - F.col("_dn")).alias("low"), F.col("_at").alias("close"), "volume")
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of rows with equal keys the last in the given order."""
     last = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])

@@ -63,4 +63,4 @@ def remembered(spark: SparkSession, source: str, path: str, checkpoint: str, fil
         batch.write.mode("overwrite").parquet(f"{path}/n={number}")
 
     rows.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return memory.without_nan(spark.read.schema(memory.OUTPUT).parquet(path))
+    return memory.without_nan(spark.read.schema(memory.OUTPUT).parquet(path).drop("n"))

@@ -228,26 +228,25 @@ def _merged(found: DataFrame) -> DataFrame:
     split = F.expr("transform(sequence(0, length(all) div 16 - 1), i -> substring(all, 16 * i + 1, 16))")
     each = found.where("all is not null").select("anchor", "salt", F.explode(split).alias("digest"))
     shared = each.groupBy("anchor", "digest").agg(F.collect_list("salt").alias("salts")).where("size(salts) > 1")
-    back = shared.select("anchor", "digest", F.explode("salts").alias("salt")).groupBy("anchor", "salt").agg(F.collect_list("digest").alias("known"))
-    hot = found.where("digests is not null").select("anchor", "salt", "context", "runs", "digests").join(back, ["anchor", "salt"], "left")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 200):
-                batch, out = whole.slice(low, 200), []
-                for runs, digests, known in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                    own = np.frombuffer(digests, "V16").view("S16")
-                    flags = np.zeros(len(own), bool)
-                    for a, b in zip(runs[::2], runs[1::2], strict=True):
-                        flags[a:b] = True
-                    if known:
-                        ranked = np.sort(np.frombuffer(b"".join(known), "S16"))
-                        flags |= ranked[np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)] == own
-                    out.append(_runs(flags))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["anchor", "context", "runs"])
-
-    chosen = hot.select("anchor", "context", "runs", "digests", "known")
-    return found.where("digests is null").select("anchor", "context", "runs").unionByName(chosen.mapInArrow(run, "anchor long, context long, runs array<int>"))
+    back = shared.select("anchor", F.explode("salts").alias("salt"), "digest")
+    hot = found.where("digests is not null").select("anchor", "salt", "context", "runs", "digests")
+
+    def run(contexts: pa.Table, known: pa.Table) -> pa.Table:
+        """One shard: its contexts, and the digests of it that other shards have too."""
+        ranked, out = np.sort(np.frombuffer(b"".join(known.column("digest").to_pylist()), "S16")), []
+        for runs, digests in zip(contexts.column("runs").to_pylist(), contexts.column("digests").to_pylist(), strict=True):
+            own = np.frombuffer(digests, "S16")
+            flags = np.zeros(len(own), bool)
+            for a, b in zip(runs[::2], runs[1::2], strict=True):
+                flags[a:b] = True
+            if len(ranked):
+                flags |= ranked[np.minimum(np.searchsorted(ranked, own), len(ranked) - 1)] == own
+            out.append(_runs(flags))
+        return pa.table({"anchor": contexts.column("anchor"), "context": contexts.column("context"), "runs": pa.array(out, pa.list_(pa.int32()))})
+
+    keys = ("anchor", "salt")
+    merged = hot.groupBy(*keys).cogroup(back.groupBy(*keys)).applyInArrow(run, "anchor long, context long, runs array<int>")
+    return found.where("digests is null").select("anchor", "context", "runs").unionByName(merged)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

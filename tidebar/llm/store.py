@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,11 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it again, so that nothing later computes it anew. Shuffle files of plans that are done go."""
-    path = scratch(df.sparkSession, name)
+    """Write df once and read it again, so that nothing later computes it anew. Shuffle files of the plans before go first.
+
+    Spark's context cleaner drops the shuffles of plans without references, which those of the table before this one are by now.
+    """
+    path, spark = scratch(df.sparkSession, name), df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's context cleaner drops the shuffles of plans without references
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*tables: DataFrame) -> None:

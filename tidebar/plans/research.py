@@ -195,7 +195,7 @@ def sequence_features(spark, d):
     return s.select("symbol", "time", F.when(c("direction") == "UP", c("len")).when(c("direction") == "DOWN", -c("len")).otherwise(0).cast("long").alias("streak"), F.array_join(F.collect_list(F.left("direction", F.lit(1))).over(e.past(5)), "").alias("dir_seq_5"), F.sum(c("breakout_up") + c("breakout_down")).over(e.past(12)).alias("attempts_12"), since.cast("long").alias("bars_since_false_break"))
 
 
-#: Bars after an event whose outcome counts: minutes in the reference, over bars of one minute; here over bars of 15 minutes.
+#: Bars after an event whose outcome counts: minutes over bars of one minute as published; here over bars of 15 minutes.
 HORIZONS = (5, 15, 30, 60)
 _WIDTH = "15 minutes"
 _CONTEXTS = {"h1": "1 hour", "h4": "4 hours", "d1": "1 day"}

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from tidebar.llm import decontaminate, language, linededup, ngram_join, pieces, pii, quality, suffixes, toxicity, wavelet
+from tidebar.llm import decontaminate, language, linededup, ngram_join, pieces, pii, quality, spelling, suffixes, toxicity, warc, wavelet, whitening
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_warc": warc.op13_warc,
 }
-ORACLES = {"op9_line_dedup": linededup.OP9_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_quality_rules": quality.OP8_SQL}
+ORACLES = {"op9_line_dedup": linededup.OP9_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op8_quality_rules": quality.OP8_SQL, "op13_warc": warc.OP13_SQL}

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidebar.plans import bars_and_features, blocks, chronos, figures, micro, paths, profile, registry, research, tables
+from tidebar.plans import bars_and_features, blocks, executions, figures, laws, micro, paths, profile, registry, research, tables, widebase
 
-_PARTS = (bars_and_features, blocks, research, chronos, figures, micro, profile, registry, tables, paths)
+_PARTS = (bars_and_features, blocks, research, widebase, figures, micro, profile, registry, tables, paths, laws, executions)
 
 
 def queries() -> dict[str, Callable]:

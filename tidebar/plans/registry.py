@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.functions import conditions
 from tidebar.functions import exprs as e
 from tidebar.operators import features, levels
-from tidebar.plans import chronos, research
+from tidebar.plans import research, widebase
 from tidebar.plans import sqlparts as q
 from tidebar.plans.bars_and_features import _IND, base, rounded
 from tidebar.plans.blocks import _Z
@@ -45,10 +45,10 @@ _LAW_SQL = {
 }
 
 
-@query(f"{chronos._WIDE} SELECT symbol, law_id, count(*) AS matches, min(time) AS first_match, max(time) AS last_match FROM (" + " UNION ALL ".join(f"SELECT symbol, '{n}' AS law_id, time FROM wb WHERE {x}" for n, x in _LAW_SQL.items()) + ") GROUP BY ALL")
+@query(f"{widebase._WIDE} SELECT symbol, law_id, count(*) AS matches, min(time) AS first_match, max(time) AS last_match FROM (" + " UNION ALL ".join(f"SELECT symbol, '{n}' AS law_id, time FROM wb WHERE {x}" for n, x in _LAW_SQL.items()) + ") GROUP BY ALL")
 def law_conditions(spark, d):
     """Each bar against all laws in one pass: the laws are columns, not a join."""
-    b = chronos._base(spark, d)
+    b = widebase.wide_base(spark, d)
     met = F.filter(F.array(*(F.when(conditions.compiled(x), F.lit(n)) for n, x in LAWS.items())), lambda n: n.isNotNull())
     return b.select("symbol", "time", F.explode(met).alias("law_id")).groupBy("symbol", "law_id").agg(F.count("*").alias("matches"), F.min("time").alias("first_match"), F.max("time").alias("last_match"))
 

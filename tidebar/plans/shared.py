@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _local: dict[str, str] = {}
@@ -23,3 +23,10 @@ def folder(spark: SparkSession, name: str) -> str:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(hadoop).deleteOnExit(target)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that nothing later computes it anew."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _base(spark, d) -> DataFrame:
+def wide_base(spark, d) -> DataFrame:
     larger = {n: (src.event_bars(spark, d, w), w) for n, w in LARGER.items()}
     return wide.core(wide.with_larger(wide.anchor(src.event_bars(spark, d, "15 minutes")), larger), list(LARGER))
 
@@ -72,7 +72,7 @@ _NUMBERS = ["range_usd", "net_usd", "range_atr", "body_atr", "vol_ratio", "energ
 
 @query(f"{_WIDE} SELECT symbol, time, {', '.join(_TEXT)}, {', '.join(f'round({n}, 5) AS {n}' for n in _NUMBERS)} FROM wb")
 def mtf_base(spark, d):
-    return rounded(_base(spark, d).select("symbol", "time", *_TEXT, *_NUMBERS), 5)
+    return rounded(wide_base(spark, d).select("symbol", "time", *_TEXT, *_NUMBERS), 5)
 
 
 _SETUP = f"""{_WIDE}, s0 AS (SELECT *, CASE WHEN mtf_bias = 'UP' AND direction = 'UP' THEN 'BUY_ALIGNED' WHEN mtf_bias = 'DOWN' AND direction = 'DOWN' THEN 'SELL_ALIGNED' WHEN mtf_bias = 'UP' THEN 'BUY_MTF_ONLY' WHEN mtf_bias = 'DOWN' THEN 'SELL_MTF_ONLY' ELSE 'MIXED' END AS setup_side_context, CASE WHEN level_zone LIKE '%RESISTANCE' THEN 'RESISTANCE_ZONE' WHEN level_zone LIKE '%SUPPORT' THEN 'SUPPORT_ZONE' ELSE 'MID_RANGE' END AS setup_location_context FROM wb),
@@ -82,7 +82,7 @@ su AS (SELECT *, 'state=' || market_state || '|setup=' || setup_event_context ||
 
 @query(f"{_SETUP} SELECT symbol, time, setup_side_context, setup_location_context, setup_event_context, setup_genome_macro, 'hour=' || hour_brt || '|' || setup_genome_macro || '|vol=' || vol_bucket AS setup_genome_time FROM su")
 def setup_genome(spark, d):
-    s = wide.setup(_base(spark, d))
+    s = wide.setup(wide_base(spark, d))
     return s.select("symbol", "time", "setup_side_context", "setup_location_context", "setup_event_context", "setup_genome_macro", F.concat(F.lit("hour="), c("hour_brt").cast("string"), F.lit("|"), "setup_genome_macro", F.lit("|vol="), "vol_bucket").alias("setup_genome_time"))
 
 
@@ -101,7 +101,7 @@ _PLACES = [f"{n}_range_location" for n in LARGER]
 
 @query(f"{_LOC} SELECT symbol, time, {', '.join(_PLACES)}, {', '.join(f'round(dist_{n}_{s}_atr, 5) AS dist_{n}_{s}_atr, coalesce(dist_{n}_{s}_atr BETWEEN -0.05 AND 0.35, false) AS {n}_near_{s}' for n in LARGER for s in ('high', 'low'))}, up_p AS htf_location_up_pressure, dn_p AS htf_location_down_pressure, bs AS htf_location_bias_score, CASE WHEN bs >= 3 THEN 'STRONG_UP_LOCATION' WHEN bs <= -3 THEN 'STRONG_DOWN_LOCATION' WHEN bs > 0 THEN 'UP_LOCATION' WHEN bs < 0 THEN 'DOWN_LOCATION' ELSE 'MIXED_LOCATION' END AS htf_location_bias, CASE WHEN breakout_up = 1 AND bs > 0 THEN 'BREAKOUT_WITH_HTF_UP' WHEN breakout_down = 1 AND bs < 0 THEN 'BREAKOUT_WITH_HTF_DOWN' WHEN breakout_up = 1 AND bs < 0 THEN 'BREAKOUT_AGAINST_HTF_DOWN' WHEN breakout_down = 1 AND bs > 0 THEN 'BREAKOUT_AGAINST_HTF_UP' WHEN breakout_up + breakout_down > 0 THEN 'BREAKOUT_MIXED_HTF' ELSE 'NO_BREAKOUT' END AS breakout_location_alignment FROM lo")
 def htf_location(spark, d):
-    b = wide.location(wide.setup(_base(spark, d)), list(LARGER))
+    b = wide.location(wide.setup(wide_base(spark, d)), list(LARGER))
     near = [x for n in LARGER for s in ("high", "low") for x in (f"dist_{n}_{s}_atr", f"{n}_near_{s}")]
     return rounded(b.select("symbol", "time", *_PLACES, *near, "htf_location_up_pressure", "htf_location_down_pressure", "htf_location_bias_score", "htf_location_bias", "breakout_location_alignment"), 5)
 
@@ -115,7 +115,7 @@ sq AS (SELECT *, CASE WHEN compression_count_5 >= 3 AND bo = 1 THEN 'BREAKOUT_AF
 
 @query(f"{_SEQ} SELECT symbol, time, dir_seq_3, dir_seq_5, dir_seq_8, compression_count_5, expansion_count_5, breakout_count_8, false_break_count_5, sweep_count_5, dir_streak, sequence_regime, tries AS breakout_attempt_lookback_12, {_bins('tries', (0, 1, 2, 4), ('NO_RECENT_BO', 'FIRST_BO', 'SECOND_BO', 'MULTI_BO', 'BO_CLUSTER'))} AS breakout_attempt_bucket FROM sq")
 def sequence_regimes(spark, d):
-    return wide.sequences(_base(spark, d)).select("symbol", "time", "dir_seq_3", "dir_seq_5", "dir_seq_8", "compression_count_5", "expansion_count_5", "breakout_count_8", "false_break_count_5", "sweep_count_5", "dir_streak", "sequence_regime", "breakout_attempt_lookback_12", "breakout_attempt_bucket")
+    return wide.sequences(wide_base(spark, d)).select("symbol", "time", "dir_seq_3", "dir_seq_5", "dir_seq_8", "compression_count_5", "expansion_count_5", "breakout_count_8", "false_break_count_5", "sweep_count_5", "dir_streak", "sequence_regime", "breakout_attempt_lookback_12", "breakout_attempt_bucket")
 
 
 _RATES = {"avg_energy": "energy_score", "avg_range_atr": "range_atr", "continuation_h3": "h3_continues", "continuation_h6": "h6_continues", "continuation_h12": "h12_continues", "pullback_0p50_h6": "h6_pullback_0p50", "reach_1atr_h12": "h12_reaches_1p00"}
@@ -127,7 +127,7 @@ g AS (SELECT {', '.join(_LAYERS)}, 7 - ({' + '.join(f'grouping({n})' for n in _L
 SELECT {', '.join(_LAYERS)}, layer, bars, {', '.join(f'round({n}, 5) AS {n}' for n in _RATES)}, round(rr_tp, 5) AS rr_tp, round(rr_sl, 5) AS rr_sl, round(0.35 * (rr_tp - rr_sl) + 0.25 * reach_1atr_h12 + 0.2 * continuation_h6 - 0.2 * pullback_0p50_h6, 5) AS fusion_edge_score FROM g WHERE layer > 0""")
 def context_layers(spark, d):
     """Seven keys, each layer one more of them, as one rollup."""
-    b = touch.reward_risk(features.forward_outcomes(_base(spark, d), (3, 6, 12)), ((1.0, 0.5, 12),)).withColumnRenamed("rr_1.0_0.5_12", "rr")
+    b = touch.reward_risk(features.forward_outcomes(wide_base(spark, d), (3, 6, 12)), ((1.0, 0.5, 12),)).withColumnRenamed("rr_1.0_0.5_12", "rr")
     b = b.withColumns({"align": F.concat_ws("/", "mtf_alignment_bucket", "mtf_bias"), "zone": F.concat_ws("/", "resistance_bucket", "support_bucket")})
     level = F.lit(7)
     for n in _LAYERS:

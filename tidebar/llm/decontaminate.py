@@ -8,11 +8,13 @@ The set is broadcast only up to about MAX_WINDOWS windows (counted first); a lar
 one after another, with the hits so far written between the parts. Longer items than that are cut into pieces that overlap by
 a window less one word, so that no part holds one whole. Null texts have no words; very long texts are read whole; null item
 ids are left out of the list of items but still hit; empty tables give no rows or no hits; repeated items count once, repeated
-documents each time; columns of any other names pass through.
+documents each time; other columns pass through. `find_hits` refuses columns named like its results (_words, _runs, _items);
+`remove_documents` and `remove_spans` take columns of any name.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +130,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
     if taken := {"_words", "_runs", "_items"}.intersection(docs.columns):
         raise ValueError(f"docs has columns named like the results: {sorted(taken)}")
     items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"(?i)({_WORD})"), F.lit(1))
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    words = F.regexp_extract_all(lowered, F.lit(f"({_WORD})"), F.lit(1))
     items = items.withColumn("words", words).withColumn("n", F.size("words"))
     total = items.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // max_windows))

@@ -49,19 +49,19 @@ def letter_table() -> np.ndarray:
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all n-grams, the text of each, and whether each text has a letter."""
     lowered = [(t or "").lower() for t in texts]
-    codes = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered))
+    # Each text has a blank of its own on both sides, so that no n-gram and no word goes from one into the next.
+    codes = np.frombuffer("".join(f" {t} " for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter((len(t) + 2 for t in lowered), np.int64, len(lowered))
+    text = np.repeat(np.arange(len(texts)), sizes)
     letter = letter_table()[codes]
+    has = np.bincount(text[letter], minlength=len(texts)) > 0
     kept = letter.copy()
     kept[1:] |= letter[:-1]  # a blank after each word
-    text = np.repeat(np.arange(len(texts)), sizes)
-    has = np.bincount(text[letter], minlength=len(texts)) > 0
+    kept[np.cumsum(sizes) - sizes] = has  # and one before the first
     text = text[kept]
-    chars = np.where(letter, codes, np.uint32(32))[kept].astype(np.uint64)
-    # Before each text's first word stands the blank after the word before, or a first one.
-    chars, text = np.concatenate([[np.uint64(32)], chars]), np.concatenate([text[:1], text])
-    grams = tv.rolling(chars, GRAM)
-    return grams, text[GRAM - 1 :][: len(grams)], has & (np.bincount(text, minlength=len(texts)) > 0)
+    grams = tv.rolling(np.where(letter, codes, np.uint32(32))[kept].astype(np.uint64), GRAM)
+    inside = text[: len(grams)] == text[GRAM - 1 :] if len(grams) else np.zeros(0, bool)
+    return grams[inside], text[: len(grams)][inside], has
 
 
 def _blocks(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, int, list[str | None]]]:

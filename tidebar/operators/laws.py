@@ -97,13 +97,15 @@ def held(states: DataFrame, registry: DataFrame) -> DataFrame:
     """A row for each state and law that holds: law_id and side beside the state's columns."""
     rows = judged(states, registry)
     met = F.filter("laws", lambda law: F.size(law["failed"]) == 0)
-    return rows.withColumn("_law", F.explode(F.transform(met, lambda law: F.struct(law["law_id"], law["side"])))).select(*(n for n in rows.columns if n != "laws"), "_law.law_id", c("_law.side").alias("law_side"))
+    # explode_outer: for explode() the optimizer would add a filter that evaluates all conditions once more.
+    each = rows.withColumn("_law", F.explode_outer(F.transform(met, lambda law: F.struct(law["law_id"], law["side"])))).where("_law IS NOT NULL")
+    return each.select(*(n for n in rows.columns if n != "laws"), "_law.law_id", c("_law.side").alias("law_side"))
 
 
 def audit(states: DataFrame, registry: DataFrame, by: str = "symbol") -> DataFrame:
     """For each law and condition, how many states failed it, and how many failed it alone."""
-    rows = judged(states, registry).select(by, F.explode("laws").alias("law")).select(by, "law.law_id", F.explode("law.failed").alias("condition"), (F.size("law.failed") == 1).cast("long").alias("alone"))
-    return rows.groupBy(by, "law_id", "condition").agg(F.count("*").alias("failed"), F.sum("alone").alias("failed_alone"))
+    rows = judged(states, registry).select(by, F.explode("laws").alias("law")).select(by, "law.law_id", F.explode_outer("law.failed").alias("condition"), (F.size("law.failed") == 1).cast("long").alias("alone"))
+    return rows.where("condition IS NOT NULL").groupBy(by, "law_id", "condition").agg(F.count("*").alias("failed"), F.sum("alone").alias("failed_alone"))
 
 
 # --- Matching -------------------------------------------------------------------------------------------------------------

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidebar.plans import bars_and_features, blocks, executions, figures, laws, micro, paths, profile, registry, research, tables, widebase
+from tidebar.plans import bars_and_features, blocks, executions, figures, governed, laws, micro, mining, paths, profile, registry, research, shapes, tables, widebase
 
-_PARTS = (bars_and_features, blocks, research, widebase, figures, micro, profile, registry, tables, paths, laws, executions)
+_PARTS = (bars_and_features, blocks, research, widebase, figures, micro, profile, registry, tables, paths, laws, executions, mining, shapes, governed)
 
 
 def queries() -> dict[str, Callable]:

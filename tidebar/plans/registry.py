@@ -184,10 +184,10 @@ def calendar_fields(spark, d):
     return t.select("o_orderkey", F.month(at).alias("month"), F.year(at).alias("year"), F.date_format(at, "yyyy-MM").alias("period"), F.upper(F.date_format(at, "EEEE")).alias("weekday"), F.date_format(at, "HH:mm").alias("time_slot"), F.weekday(at).alias("day_of_week"), F.to_date(at).alias("date"))
 
 
-@query(f"WITH RECURSIVE {q.bars()}, {q.base()}, ev AS (SELECT event_id, event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS time, value FROM events WHERE event_id % 7 = 0) SELECT event_id, ev.symbol, ev.time, value, round((high - low) / (atr + 1e-9), 6) AS range_atr, coalesce((close > ph)::INT, 0) AS breakout_up FROM ev LEFT JOIN b ON ev.symbol = b.symbol AND ev.time = b.time")
+@query(f"WITH RECURSIVE {q.bars()}, {q.base()}, ev AS (SELECT event_id, event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS time, value FROM events) SELECT event_id, ev.symbol, ev.time, value, round((high - low) / (atr + 1e-9), 6) AS range_atr, coalesce((close > ph)::INT, 0) AS breakout_up FROM ev LEFT JOIN b ON ev.symbol = b.symbol AND ev.time = b.time")
 def events_with_features(spark, d):
     """Events and the features of the bar that they fall in: a left equi-join on symbol and time."""
-    t = src.table(spark, d, "events").where("event_id % 7 = 0").select("event_id", c("event_type").alias("symbol"), F.window("ts", "1 hour")["start"].alias("time"), "value")
+    t = src.table(spark, d, "events").select("event_id", c("event_type").alias("symbol"), F.window("ts", "1 hour")["start"].alias("time"), "value")
     f = features.bar_flags(base(spark, d)).select("symbol", "time", e.guarded(c("high") - c("low"), c("atr")).alias("range_atr"), "breakout_up")
     return rounded(t.join(f, ["symbol", "time"], "left").select("event_id", "symbol", "time", "value", "range_atr", "breakout_up"))
 

@@ -9,6 +9,7 @@ import io
 import json
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,13 +55,34 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"{path}: not renamed")
 
 
+def create(spark: SparkSession, path: str, data: bytes) -> None:
+    """A new file; FileExistsError where there is one, even one that another process has just begun."""
+    fs, target = _fs(spark, path)
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            raise FileExistsError(path) from None
+        raise
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none where it isn't there."""
+    fs, target = _fs(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.sparkContext.binaryFiles(path).first()[1])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A folder with one CSV file; for summaries."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder of CSV files; of one file for summaries, which then go through one task."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(spark: SparkSession, path: str, value: Mapping, pretty: bool = True) -> None:
@@ -91,11 +113,14 @@ def markdown(tables: Mapping[str, DataFrame], most: int = 30) -> str:
 
 
 def xlsx(tables: Mapping[str, DataFrame], most: int = 10_000) -> bytes:
-    """A workbook with a sheet a table; needs openpyxl."""
+    """A workbook with a sheet a table; needs openpyxl. A table of more than `most` rows is refused, not cut."""
     import pandas as pd
 
     data = io.BytesIO()
     with pd.ExcelWriter(data, engine="openpyxl") as book:
         for name, df in tables.items():
-            df.limit(most).toPandas().to_excel(book, sheet_name=name[:31], index=False)
+            rows = df.limit(most + 1).toPandas()
+            if len(rows) > most:
+                raise ValueError(f"{name}: more than {most} rows don't fit a sheet")
+            rows.to_excel(book, sheet_name=name[:31], index=False)
     return data.getvalue()

@@ -11,7 +11,7 @@ from tidebar.plans import sqlparts as q
 from tidebar.plans.bars_and_features import base, rounded
 from tidebar.plans.shared import folder
 from tidebar.sources import bars as src
-from tidebar.streaming import live
+from tidebar.streaming import live, recent
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -108,3 +108,25 @@ def time_range_mean(spark, d):
     return b.select("symbol", "time", "close", "volume", F.round(F.avg("close").over(w), 6).alias("mean_6h"))
 
 
+#: Bars that a series keeps in the stream, and the silence in seconds after which it begins anew.
+KEEP, IDLE = 20, 3 * 3600
+
+
+@query(f"""WITH {q.bars()}, g AS (SELECT *, sum((time - lag_time > INTERVAL '{IDLE} seconds')::INT) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS life FROM (SELECT *, coalesce(lag(time) OVER {q.W}, time) AS lag_time FROM bars)),
+k AS (SELECT symbol, time, close, least({KEEP}, row_number() OVER w)::INT AS kept, avg(close) OVER (PARTITION BY symbol, life ORDER BY time ROWS BETWEEN {KEEP - 1} PRECEDING AND CURRENT ROW) AS mean, lag(close) OVER w AS previous FROM g WINDOW w AS (PARTITION BY symbol, life ORDER BY time)),
+e AS (SELECT min(time) + (max(time) - min(time)) * 0.25 AS first FROM bars) SELECT symbol, time, close, kept, round(mean, 6) AS mean, previous FROM k, e WHERE time >= first""")
+def stream_recent_bars(spark, d):
+    """The last bars of each symbol over a stream that begins from a batch table and is started three times."""
+    at = folder(spark, "recent")
+    b = src.event_bars(spark, d).select("symbol", c("time").cast("timestamp").alias("time"), "close")
+    low, high = b.agg(F.min("time"), F.max("time")).first()
+    if low is None:
+        return spark.createDataFrame([], "symbol string, time timestamp_ntz, close double, kept int, mean double, previous double")
+    cuts = [low + (high - low) * x for x in (0.25, 0.5, 0.8)]
+    edges = [F.lit(x) for x in cuts]
+    parts = [b.where((c("time") >= a) & (c("time") < z if z is not None else F.lit(True))) for a, z in zip(edges, [*edges[1:], None], strict=True)]
+    for part in parts:
+        part.write.mode("append").parquet(f"{at}/in")
+        recent.start(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", b.where(c("time") < edges[0]), KEEP, IDLE)
+    out = spark.read.schema(recent.OUTPUT).parquet(f"{at}/out")
+    return rounded(out.select("symbol", c("time").cast("timestamp_ntz").alias("time"), "close", "kept", "mean", "previous"))

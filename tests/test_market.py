@@ -213,9 +213,18 @@ def test_conditions_hold_or_name_what_fails(spark):
     assert df.where(conditions.compiled({"side": "UNKNOWN"})).count() == 1
 
 
+class Waves:
+    """A feed of 3,000 bars that refuses more than 700 at once."""
+
+    LENGTH, AT_ONCE = 3000, 700
+
+    def bars(self, symbol, timeframe, start, count):
+        return None if count > self.AT_ONCE else [(p,) for p in range(start, min(self.LENGTH, start + count))]
+
+
 def test_feed_chunks_shrink_and_end():
-    sizes = [(at, len(rows)) for at, rows in feed.chunks(feed.Waves(), "A", "M1", 0, 10_000, 5000)]
-    assert sizes[0] == (0, 625) and sum(n for _, n in sizes) == feed.Waves.LENGTH and [at for at, _ in sizes] == [sum(n for _, n in sizes[:k]) for k in range(len(sizes))]
+    sizes = [(at, len(rows)) for at, rows in feed.chunks(Waves(), "A", "M1", 0, 10_000, 5000)]
+    assert sizes[0] == (0, 625) and sum(n for _, n in sizes) == Waves.LENGTH and [at for at, _ in sizes] == [sum(n for _, n in sizes[:k]) for k in range(len(sizes))]
 
     class Empty:
         def bars(self, *args):
@@ -224,6 +233,16 @@ def test_feed_chunks_shrink_and_end():
     assert list(feed.chunks(Empty(), "A", "M1", 0, 5)) == []
 
 
+def test_feed_is_read_by_a_task_a_chunk(spark, tmp_path):
+    feed.store(_bars(spark, [("A", i, 1, 2, 0, i) for i in range(50)]), f"file://{tmp_path}/f", "M5", 10)
+    spark.dataSource.register(feed.Candles)
+    read = spark.read.format("candles").option("feed", "tidebar.sources.feed:Stored").option("arguments", '{"folder": "%s/f", "at_once": 4}' % tmp_path).option("symbols", "A").option("timeframe", "M5")
+    df = read.option("count", "35").option("chunk", "10").load()
+    rows = sorted((r["position"], r["close"]) for r in df.collect())
+    assert df.rdd.getNumPartitions() == 4 and rows == [(p, 49.0 - p) for p in range(1, 36)]
+    assert read.option("count", "99").option("live", "true").load().count() == 50
+
+
 def test_files_are_found_and_written(spark, tmp_path):
     folder = f"file://{tmp_path}"
     for name in ("Gold_M5_old.parquet", "x_gold_m5_new.parquet", "GOLD_H1.parquet"):

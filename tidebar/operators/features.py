@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions import blocks
 from tidebar.functions.exprs import ahead, flag, full, guarded, over, past, series
 from tidebar.functions.recursive import ewm, linear, wilder, wilder_sum
 
@@ -13,10 +14,34 @@ c = F.col
 
 def base(bars: DataFrame, atr: int = 14) -> DataFrame:
     """Previous values, place, true range and Wilder's mean of it as atr."""
+    return with_atr(previous(bars.withColumn("row_idx", F.row_number().over(series()))), atr)
+
+
+def previous(b: DataFrame) -> DataFrame:
+    """Previous values and true range."""
     w = series()
-    out = bars.withColumns({"po": F.lag("open").over(w), "ph": F.lag("high").over(w), "pl": F.lag("low").over(w), "pc": F.lag("close").over(w), "row_idx": F.row_number().over(w)})
-    out = out.withColumn("tr", F.greatest(c("high") - c("low"), F.abs(c("high") - c("pc")), F.abs(c("low") - c("pc"))))
-    return linear(out, {"atr": wilder(c("tr"), atr)}).withColumn("atr", full(c("atr"), atr, c("row_idx")))
+    out = b.withColumns({"po": F.lag("open").over(w), "ph": F.lag("high").over(w), "pl": F.lag("low").over(w), "pc": F.lag("close").over(w)})
+    return out.withColumn("tr", F.greatest(c("high") - c("low"), F.abs(c("high") - c("pc")), F.abs(c("low") - c("pc"))))
+
+
+def with_atr(b: DataFrame, atr: int = 14) -> DataFrame:
+    return linear(b, {"atr": wilder(c("tr"), atr)}).withColumn("atr", full(c("atr"), atr, c("row_idx")))
+
+
+#: Rows that the bounded features look back: 200 for z-scores of a band of 20, and some.
+LOOK_BACK = 256
+
+
+def in_blocks(bars: DataFrame, size: int = blocks.SIZE) -> DataFrame:
+    """All feature columns of bars whose frames are bounded, and the smoothed ones, without a task a series for the bounded ones."""
+    from tidebar.operators import levels
+
+    def bounded(b: DataFrame) -> DataFrame:
+        b = regimes(levels.distances(rolling_indicators(b, totals=False)))
+        return levels.gap_zones(candle_patterns(bar_flags(price_blocks(b))))
+
+    b = blocks.in_blocks(blocks.numbered(bars), previous, 1, 0, size)
+    return blocks.in_blocks(smoothed(with_atr(b)), bounded, LOOK_BACK, 0, size)
 
 
 def smoothed(b: DataFrame, width: int = 14) -> DataFrame:
@@ -123,7 +148,8 @@ def candle_patterns(b: DataFrame) -> DataFrame:
     )
 
 
-def rolling_indicators(b: DataFrame) -> DataFrame:
+def rolling_indicators(b: DataFrame, totals: bool = True) -> DataFrame:
+    """Averages, bands and oscillators; totals: the volume on balance too, which adds up a whole series."""
     w, n = series(), c("row_idx")
     h, lo, cl, v = c("high"), c("low"), c("close"), c("volume").cast("double")
     typical = (h + lo + cl) / 3
@@ -156,7 +182,7 @@ def rolling_indicators(b: DataFrame) -> DataFrame:
             "ichimoku_conversion": mid(9),
             "ichimoku_base": mid(26),
             "ichimoku_b": mid(52),
-            "obv": F.sum("_ob").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            **({"obv": F.sum("_ob").over(w.rowsBetween(Window.unboundedPreceding, 0))} if totals else {}),
             "donchian_high20": full(F.max("high").over(past(20)), 20, n),
             "donchian_low20": full(F.min("low").over(past(20)), 20, n),
         }

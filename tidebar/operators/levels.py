@@ -156,8 +156,16 @@ def live_context(b: DataFrame, now: Column, seconds: int) -> DataFrame:
     return b.withColumn("live_bar_classification", kind.otherwise(CLASSES[-1])).drop("_usual")
 
 
+def undoubled(df: DataFrame) -> DataFrame:
+    """The first of the columns of each name."""
+    names, own = df.columns, [f"c{k}" for k in range(len(df.columns))]
+    first = {n: own[k] for k, n in reversed(list(enumerate(names)))}
+    return df if len(first) == len(names) else df.toDF(*own).select(*(c(first[n]).alias(n) for n in dict.fromkeys(names)))
+
+
 def assembled(df: DataFrame, flags: tuple[str, ...] = ()) -> DataFrame:
-    """The last steps over all blocks: infinities and not-a-number null, continuous columns carried forward, missing flags 0."""
+    """The last steps over all blocks: doubled columns once, infinities and not-a-number null, continuous columns carried forward, missing flags 0."""
+    df = undoubled(df)
     fixed = {n: F.when(~F.isnan(c(n)) & (F.abs(c(n)) != float("inf")), c(n)) for n, t in df.dtypes if t == "double"}
     df = df.withColumns(fixed)
     carried = [n for n in df.columns if n.startswith(CARRIED) and not n.endswith("_event") and not n.startswith("fib_direction")]

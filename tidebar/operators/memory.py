@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.exprs import bins, flag, past, series
+from tidebar.operators.sequential import in_order
 
 INPUT = ("symbol", "time", "high", "low", "close", "atr", "energy_score", "range_atr", "breakout_up", "breakout_down", "false_breakout_up", "false_breakout_down", "sweep_high", "sweep_low")
 OUTPUT = "symbol string, time timestamp_ntz, level_attempt_start boolean, level_attempt_side string, level_cycle_id long, level_price double, level_attempt_number long, level_attempt_cluster_length long, level_reset_reason string, level_age_bars long, distance_from_level_atr double, accepted_breakout boolean, attempt_energy_delta double, attempt_range_delta double, attempt_quality string"
@@ -157,8 +158,8 @@ def rows_of(memory: LevelMemory, bars: pd.DataFrame) -> pd.DataFrame:
 
 
 def level_memory(bars: DataFrame) -> DataFrame:
-    """A row per bar, from bars with the columns of INPUT. One group a symbol, bounded by its history."""
-    return without_nan(bars.select(*INPUT).groupBy("symbol").applyInPandas(lambda g: rows_of(LevelMemory(), g), OUTPUT))
+    """A row per bar, from bars with the columns of INPUT: batch by batch in the order of time, the memory carried on."""
+    return without_nan(in_order(bars.select(*INPUT), ["symbol"], ["time"], LevelMemory, rows_of, OUTPUT))
 
 
 def without_nan(df: DataFrame) -> DataFrame:

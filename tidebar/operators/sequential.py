@@ -1,44 +1,84 @@
-"""Operators whose state depends on the path and is not linear: one pandas group a key, as a key's rows are bounded by its history."""
+"""Operators whose state depends on the path and is not linear: rows of a key in their order, batch by batch, with the state carried on.
+
+Cooldown and attempts take one pandas group a key, as they sort by other columns or look back at bars; break-outs are few.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: Sequence[str], begin: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame | None], schema: str | StructType) -> DataFrame:
+    """step(state, part) over the rows of each key in their order, batch by batch: a key's rows need not fit into memory.
+
+    begin() makes a key's state; step changes it and returns rows. A partition is sorted by key and order, so a key's batches follow
+    each other, and only its state goes from one to the next.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now = None, None
+        for batch in batches:
+            own = batch[list(keys)].astype(object).where(batch[list(keys)].notna(), None)
+            names = list(zip(*(own[k] for k in keys), strict=True))
+            first = 0
+            for at in [*(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]:
+                if first < at:
+                    if state is None or names[first] != now:
+                        state, now = begin(), names[first]
+                    out = step(state, batch.iloc[first:at])
+                    if out is not None and len(out):
+                        yield out
+                first = at
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+class Sar:
+    """The parabolic stop, moved on by bars in their order."""
+
+    def __init__(self, step: float = 0.02, most: float = 0.2):
+        self.step, self.most, self.past = step, most, []
+
+    def values(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        out = np.full(len(high), np.nan)
+        for i, (h, lo) in enumerate(zip(high.tolist(), low.tolist(), strict=True)):
+            if not self.past:
+                self.up, self.speed, self.extreme, self.sar = True, self.step, h, lo
+            else:
+                self.sar += self.speed * (self.extreme - self.sar)
+                (h1, l1), (h2, l2) = self.past[-1], self.past[0]
+                self.sar = min(self.sar, l1, l2) if self.up else max(self.sar, h1, h2)
+                if (self.up and lo < self.sar) or (not self.up and h > self.sar):
+                    self.up, self.sar, self.speed, self.extreme = not self.up, self.extreme, self.step, lo if self.up else h
+                elif self.up and h > self.extreme or not self.up and lo < self.extreme:
+                    self.extreme, self.speed = h if self.up else lo, min(self.most, self.speed + self.step)
+            self.past = [*self.past, (h, lo)][-2:]
+            out[i] = self.sar
+        return out
 
 
 def parabolic_sar(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:
-    if not len(high):
-        return np.zeros(0)
-    out, up, speed, extreme, sar = np.full(len(high), np.nan), True, step, high[0], low[0]
-    out[0] = sar
-    for i in range(1, len(high)):
-        sar += speed * (extreme - sar)
-        sar = min(sar, low[i - 1], low[max(0, i - 2)]) if up else max(sar, high[i - 1], high[max(0, i - 2)])
-        if (up and low[i] < sar) or (not up and high[i] > sar):
-            up, sar, speed, extreme = not up, extreme, step, low[i] if up else high[i]
-        elif up and high[i] > extreme or not up and low[i] < extreme:
-            extreme, speed = high[i] if up else low[i], min(most, speed + step)
-        out[i] = sar
-    return out
+    return Sar(step, most).values(np.asarray(high, float), np.asarray(low, float))
 
 
 def with_sar(bars: DataFrame) -> DataFrame:
     """symbol, time and psar of bars."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("time")
-        return g[["symbol", "time"]].assign(psar=parabolic_sar(g["high"].to_numpy(float), g["low"].to_numpy(float)))
+    def step(sar: Sar, part: pd.DataFrame) -> pd.DataFrame:
+        return part[["symbol", "time"]].assign(psar=sar.values(part["high"].to_numpy(float), part["low"].to_numpy(float)))
 
-    return bars.select("symbol", "time", "high", "low").groupBy("symbol").applyInPandas(run, "symbol string, time timestamp_ntz, psar double")
+    return in_order(bars.select("symbol", "time", "high", "low"), ["symbol"], ["time"], Sar, step, "symbol string, time timestamp_ntz, psar double")
 
 
-def kept_apart(places: Sequence, gap) -> list[int]:
-    """Which of ascending places stand `gap` or more after the last one kept: the next is found by bisection."""
+def kept_apart(places: Sequence, gap, last=None) -> list[int]:
+    """Which of ascending places stand `gap` or more after the last one kept (before them: `last`): the next is found by bisection."""
     values = np.asarray(places)
-    kept, i = [], 0
+    kept, i = [], 0 if last is None else int(np.searchsorted(values, last + gap, side="left"))
     while i < len(values):
         kept.append(i)
         i = int(np.searchsorted(values, values[i] + gap, side="left"))
@@ -48,11 +88,14 @@ def kept_apart(places: Sequence, gap) -> list[int]:
 def thin(events: DataFrame, gap: int | str, keys: tuple[str, ...] = ("symbol",), place: str = "row_idx") -> DataFrame:
     """Of events each whose place is `gap` (a number, or a column that the keys hold) or more after the last one kept of its keys."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(place)
-        return g.iloc[kept_apart(g[place].to_numpy(), g[gap].iloc[0] if isinstance(gap, str) else gap)]
+    def step(last: list, part: pd.DataFrame) -> pd.DataFrame:
+        values = part[place].to_numpy()
+        kept = kept_apart(values, part[gap].iloc[0] if isinstance(gap, str) else gap, last[0])
+        if kept:
+            last[0] = values[kept[-1]]
+        return part.iloc[kept]
 
-    return events.groupBy(*keys).applyInPandas(run, events.schema)
+    return in_order(events, keys, [place], lambda: [None], step, events.schema)
 
 
 def cooled(rows: DataFrame, keys: tuple[str, ...], width: str, place: str, shared: bool = True) -> DataFrame:

@@ -171,3 +171,13 @@ def labels(spark, d):
     b = features.sessions(levels.ema_trend(levels.readiness(features.regimes(_all(spark, d)))))
     b = levels.mark_live(features.structure(b).join(F.broadcast(_now(spark, d))), c("now"), HOUR)  # one row
     return rounded(levels.labels(levels.direction_signal(b)).select("symbol", "time", "dir_signal", "tb_exit_type", "tb_y", "tb_exit_idx", "tb_r_atr", "meta_label"))
+
+
+_BLOCK = ["sma_50", "bollinger_high", "stoch_k", "mfi_14", "ichimoku_b", "vol_ratio", "atr_z", "bb_width_z", "dist_ema20_atr", "dist_sma200_atr", "adx_14", "macd_hist"]
+
+
+@query(f"{_SM}, {_IND_M}, {_Z}, bk AS (SELECT *, (close - ema_20) / (nullif(atr, 0) + 1e-9) AS dist_ema20_atr FROM y) SELECT symbol, time, row_idx::INT AS row_idx, {_r(*_BLOCK)}, {q.FLAGS} FROM bk")
+def block_features(spark, d):
+    """The same features dealt to blocks of 300 bars with overlap, so that a series is not one task."""
+    b = features.in_blocks(src.event_bars(spark, d), 300)
+    return rounded(b.select("symbol", "time", "row_idx", *_BLOCK, "breakout_up", "breakout_down", "false_breakout_up", "false_breakout_down"))

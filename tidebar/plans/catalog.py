@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidebar.plans import bars_and_features, blocks, contexts, executions, figures, governed, laws, micro, mining, paths, profile, registry, research, shapes, tables, widebase
+from tidebar.plans import bars_and_features, blocks, contexts, executions, figures, governed, laws, micro, mining, paths, profile, registry, research, shapes, tables, verdicts, widebase
 
-_PARTS = (bars_and_features, blocks, research, widebase, figures, micro, profile, registry, tables, paths, laws, executions, mining, shapes, governed, contexts)
+_PARTS = (bars_and_features, blocks, research, widebase, figures, micro, profile, registry, tables, paths, laws, executions, mining, shapes, governed, contexts, verdicts)
 
 
 def queries() -> dict[str, Callable]:

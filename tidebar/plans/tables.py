@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tidebar.plans import sqlparts as q
@@ -23,12 +25,16 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""SELECT symbol, 'M1' AS timeframe, p AS position, TIMESTAMP '2024-01-31' - to_minutes(p) AS time, o::DOUBLE AS open, (greatest(o, k) + p % 3)::DOUBLE AS high, (least(o, k) - p % 4)::DOUBLE AS low, k::DOUBLE AS close, 10 + p % 90 AS volume
-FROM (SELECT symbol, p, 100 + (p * 37 + length(symbol)) % 50 AS o, 100 + (p * 53) % 50 AS k FROM (VALUES ('GOLD'), ('SILVER')) s(symbol), range(1, 2001) r(p))""")
+@query(f"WITH {q.bars('5 minutes')} SELECT symbol, 'M5' AS timeframe, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) - 1 AS position, time, open, high, low, close, volume FROM bars QUALIFY position BETWEEN 1 AND 3000")
 def candle_feed(spark, d):
-    """The last 2,000 closed candles of two symbols, in chunks; the feed refuses more than 700 at once."""
+    """The last 3,000 closed candles of every symbol from a feed, a task for each 1,000; the feed refuses more than 300 at once, so chunks shrink."""
+    at = folder(spark, "feed")
+    bars = src.event_bars(spark, d, "5 minutes")
+    feed.store(bars, at, "M5", 1000)
+    symbols = [r[0] for r in bars.select("symbol").distinct().orderBy("symbol").collect()]  # instruments, not bars
     spark.dataSource.register(feed.Candles)
-    return spark.read.format("candles").option("feed", "tidebar.sources.feed:Waves").option("symbols", "GOLD,SILVER").option("count", "2000").load()
+    options = {"feed": "tidebar.sources.feed:Stored", "arguments": json.dumps({"folder": at, "at_once": 300}), "symbols": ",".join(symbols), "timeframe": "M5", "count": "3000", "chunk": "1000"}
+    return spark.read.format("candles").options(**options).load()
 
 
 _BARS = f"WITH {q.bars()} SELECT symbol, 'H1' AS timeframe, time, open, high, low, close, volume FROM bars"

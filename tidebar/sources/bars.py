@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
+from tidebar.sources import files
+
 BAR_SCHEMA = StructType(
     [StructField("symbol", StringType()), StructField("timeframe", StringType()), StructField("time", TimestampNTZType())]
     + [StructField(c, DoubleType()) for c in ("open", "high", "low", "close")]
@@ -42,8 +44,8 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """One folder a symbol and timeframe, so that readers prune by both."""
-    bars.write.mode("overwrite").option("compression", "zstd").partitionBy("symbol", "timeframe").parquet(path)
+    """One folder a symbol and timeframe, so that readers prune by both; put in place when it is whole."""
+    files.write_table(bars, path, ("symbol", "timeframe"))
 
 
 def bars_from_ticks(ticks: DataFrame, symbol: Column, ts: Column, price: Column, width: str, order: Column, volume: Column | None = None, spread: Column | None = None) -> DataFrame:

@@ -6,10 +6,12 @@ A feed is any object with bars(symbol, timeframe, start, count): rows (time, ope
 
 from __future__ import annotations
 
-import datetime as dt
 import importlib
+import json
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "symbol string, timeframe string, position long, time timestamp_ntz, open double, high double, low double, close double, volume long"
@@ -33,24 +35,37 @@ def chunks(feed, symbol: str, timeframe: str, start: int, count: int, most: int
             return
 
 
-class Waves:
-    """A made-up feed for tests: whole-number formulas of the position, 3,000 bars long, 700 at most at once."""
+class Stored:
+    """A feed over candles that `store` wrote: a folder a symbol, a file a range of positions. It refuses more than `at_once` bars.
 
-    LENGTH, AT_ONCE, NEWEST = 3000, 700, dt.datetime(2024, 1, 31)
+    Tasks read the files themselves, so the folder must be one that they reach by its path (a shared or mounted folder).
+    """
+
+    def __init__(self, folder: str, at_once: int = MOST):
+        self.folder, self.at_once = folder.removeprefix("file://"), at_once
 
     def bars(self, symbol: str, timeframe: str, start: int, count: int):
-        if count > self.AT_ONCE:
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        if count > self.at_once:
             return None
-        out = []
-        for p in range(start, min(self.LENGTH, start + count)):
-            o, cl = 100 + (p * 37 + len(symbol)) % 50, 100 + (p * 53) % 50
-            out.append((self.NEWEST - dt.timedelta(minutes=p), float(o), float(max(o, cl) + p % 3), float(min(o, cl) - p % 4), float(cl), 10 + p % 90))
-        return out
+        stored = ds.dataset(f"{self.folder}/timeframe={timeframe}/symbol={symbol}", format="parquet")
+        rows = stored.to_table(filter=(pc.field("position") >= start) & (pc.field("position") < start + count)).sort_by("position")
+        return list(zip(*(rows.column(n).to_pylist() for n in ("time", "open", "high", "low", "close", "volume")), strict=True))
+
+
+def store(bars: DataFrame, folder: str, timeframe: str, chunk: int = MOST) -> None:
+    """Write bars (symbol, time, ...) for Stored, by their position from the newest on, a file a symbol and chunk."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("time"))) - 1
+    rows = bars.withColumn("position", place.cast("long")).withColumn("timeframe", F.lit(timeframe))
+    dealt = rows.repartition(F.col("symbol"), F.floor(F.col("position") / chunk)).sortWithinPartitions("symbol", "position")
+    dealt.write.mode("overwrite").partitionBy("timeframe", "symbol").parquet(folder)
 
 
-class _Symbol(InputPartition):
-    def __init__(self, symbol: str):
-        self.symbol = symbol
+class _Chunk(InputPartition):
+    def __init__(self, symbol: str, start: int, count: int):
+        self.symbol, self.start, self.count = symbol, start, count
 
 
 class _Reader(DataSourceReader):
@@ -58,19 +73,21 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Symbol(s) for s in self.options["symbols"].split(",")]
+        first, count, size = 0 if self.options.get("live", "false") == "true" else 1, int(self.options.get("count", str(MOST))), int(self.options.get("chunk", str(MOST)))
+        return [_Chunk(s, first + at, min(size, count - at)) for s in self.options["symbols"].split(",") for at in range(0, count, size)]
 
-    def read(self, partition: _Symbol):
+    def read(self, partition: _Chunk):
         module, _, name = self.options["feed"].partition(":")
-        feed = getattr(importlib.import_module(module), name)()
-        timeframe, live = self.options.get("timeframe", "M1"), self.options.get("live", "false") == "true"
-        for at, rows in chunks(feed, partition.symbol, timeframe, 0 if live else 1, int(self.options.get("count", str(MOST)))):
+        feed = getattr(importlib.import_module(module), name)(**json.loads(self.options.get("arguments", "{}")))
+        timeframe = self.options.get("timeframe", "M1")
+        for at, rows in chunks(feed, partition.symbol, timeframe, partition.start, partition.count, int(self.options.get("chunk", str(MOST)))):
             for k, row in enumerate(rows):
                 yield (partition.symbol, timeframe, at + k, *row)
 
 
 class Candles(DataSource):
-    """spark.read.format("candles") with the options feed (module:class), symbols, timeframe, count and live (from the open bar on)."""
+    """spark.read.format("candles"): options feed (module:class), arguments (JSON, for its constructor), symbols, timeframe, count, chunk
+    (bars asked for at once; each chunk of a symbol is a task) and live (from the open bar on)."""
 
     @classmethod
     def name(cls) -> str:

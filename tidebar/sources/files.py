@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 from collections.abc import Mapping
 
 from py4j.protocol import Py4JJavaError
@@ -80,6 +81,31 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.sparkContext.binaryFiles(path).first()[1])
 
 
+def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """A Parquet table (zstd) that takes the place of the one before only when it is whole: written beside it, then renamed.
+
+    Readers see the old table or the new one; if the new one can't be put in place, the old one is put back.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fs, target = _fs(spark, path)
+    (_, part), (_, old) = _fs(spark, f"{path}.part-{mark}"), _fs(spark, f"{path}.old-{mark}")
+    writer = df.write.option("compression", "zstd")
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(f"{path}.part-{mark}")
+        there = fs.exists(target)
+        if there and not fs.rename(target, old):
+            raise OSError(f"{path}: the table before can't be moved")
+        if not fs.rename(part, target):
+            if there:
+                fs.rename(old, target)
+            raise OSError(f"{path}: not renamed")
+        if there:
+            fs.delete(old, True)
+    finally:
+        if fs.exists(part):
+            fs.delete(part, True)
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """A folder of CSV files; of one file for summaries, which then go through one task."""
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)

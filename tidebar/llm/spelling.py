@@ -236,6 +236,20 @@ def one_edit(grams: Grams, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def smallest_shared(all_keys: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that both rows of a pair have."""
+    sizes = np.fromiter(map(len, all_keys), np.int64, len(all_keys))
+    wide = int(sizes.max(initial=1))
+    table = np.full((len(all_keys), wide), -1, np.int64)
+    table[np.arange(wide) < sizes[:, None]] = np.fromiter((k for ks in all_keys for k in ks), np.int64, int(sizes.sum()))
+    out = np.full(len(a), _NONE, np.int64)
+    mine, other = table[a], table[b]
+    for j in range(wide):
+        has = (mine[:, j : j + 1] == other).any(axis=1) & (mine[:, j] >= 0)
+        out = np.where(has, np.minimum(out, mine[:, j]), out)
+    return out
+
+
 def block_pairs(keys: np.ndarray, words: list[str], all_keys: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of near pairs inside blocks (rows of equal key), each in the smallest block that both have."""
     grams = Grams(words)
@@ -272,8 +286,7 @@ def block_pairs(keys: np.ndarray, words: list[str], all_keys: list[list[int]]) -
     a, b = a[fits], b[fits]
     right = one_edit(grams, a, b)
     a, b = a[right], b[right]
-    least = np.fromiter((min(set(all_keys[x]) & set(all_keys[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
-    once = least == keys[a]
+    once = smallest_shared(all_keys, a, b) == keys[a]
     return a[once], b[once]
 
 

@@ -317,13 +317,16 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, shard_bytes: int =
     dealt = _cut_out(met, length).repartition(shuffle_partitions(docs.sparkSession), "anchor", "salt").sortWithinPartitions("anchor", "salt", "context")
     sharded = cut(_resolve(dealt, length, shard_bytes), "suffix-found")
     found = _merged(sharded)
-    whole = found.join(kinds.select("anchor", "context", (F.col("n") > 1).alias("whole")), ["anchor", "context"])
-    judged = mixed.join(whole, ["anchor", "context"])
+    whole = cut(found.join(kinds.select("anchor", "context", "n", (F.col("n") > 1).alias("whole")), ["anchor", "context"]), "suffix-judged")
+    # Contexts with a large share of the rows are met by broadcast too: fewer than MAX_HOT, as each has more than that share.
+    frequent = max(LEAST_HOT, -(-(kinds.agg(F.sum("n")).first()[0] or 0) // MAX_HOT))
+    few, rest = F.broadcast(whole.where(F.col("n") > frequent).drop("n")), whole.where(F.col("n") <= frequent).drop("n")
+    judged = mixed.join(few, ["anchor", "context"]).unionByName(mixed.join(few.select("anchor", "context"), ["anchor", "context"], "left_anti").join(rest, ["anchor", "context"]))
     every = F.array(F.col("first"), F.col("last") + 1)
     some = judged.select("doc_id", "text_hash", F.when(F.col("whole"), every).otherwise(F.transform("runs", lambda x: x + F.col("first"))).alias("r")).where("size(r) > 0")
     ranges = shared.where("not mixed").select("doc_id", "text_hash", every.alias("r")).unionByName(some)
     out = cut(ranges.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("r")).alias("starts")), "suffix-starts")
-    drop(shared, kinds, sharded)
+    drop(shared, kinds, sharded, whole)
     return out
 
 

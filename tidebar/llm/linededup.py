@@ -9,9 +9,9 @@ match it. Words are ordered by rarity: all words are counted
 in 65,536 hash buckets (a bound, whatever the corpus), and rank of the bucket and word hash make one ascending key. By
 the prefix filter, two sets that match share a key among the first n - ceil(t n) + 1 of each. Candidates that share one must
 also pass the length filter and the positional filter (places of the shared key and what can follow it) and a
-bitmap filter (64 bits, each word flips one: sets cannot differ in more bits than words). Each line is first
-held against its earliest candidates; only lines that found no match there are held against the others. Jaccard is
-verified on the 64-bit hashes of the words.
+bitmap filter (64 bits, each word flips one: sets cannot differ in more bits than words). Each line is first held
+against one candidate, of the earliest document, which is chosen while candidates are joined, so that they are never written;
+only lines that found no match there are held against all others. Jaccard is verified on the 64-bit hashes of the words.
 
 Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document; very long texts and
 lines are taken whole; empty tables give empty results; columns of any other names pass through remove_lines.
@@ -68,7 +68,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
-    sets = _sets(docs, id_col, text_col).where("n > 0").drop("n")
+    sets = cut(_sets(docs, id_col, text_col).where("n > 0").drop("n"), "line-all")
     firsts = cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
     ranks = _ranks(firsts)
     # Exploded from an array of one, so that the keys are made once and the long constant stands in the plan once.
@@ -77,10 +77,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Every word flips one of 64 bits: sets that differ in d words differ in at most d bits.
     bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     # The nearest that another set comes to one of n words is n / (n + 1).
-    some = keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", bits.alias("bits"), F.posexplode(F.slice("keys", F.lit(1), F.col("n") - least + 1)).alias("place", "key"))
+    prefixed = cut(keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", bits.alias("bits"), F.slice("keys", F.lit(1), F.col("n") - least + 1).alias("keys")), "line-prefixes")
+    some = prefixed.select("set_id", "first", "n", "bits", F.posexplode("keys").alias("place", "key"))
     lone = F.lit(-(1 << 63)).cast("long")
     held = some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits")
-    early, late = held.alias("a"), held.alias("b")
 
     def col(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
@@ -92,24 +92,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     before = (col("a", "doc") < col("b", "doc")) | (same_doc & (col("a", "line_no") < col("b", "line_no"))) | (same_doc & same_line & (col("a", "set_id") < col("b", "set_id")))
     sized = (den * col("a", "n") >= num * col("b", "n")) & (den * col("b", "n") >= num * col("a", "n"))
     near = F.bit_count(col("a", "bits").bitwiseXOR(col("b", "bits"))) <= col("a", "n") + col("b", "n") - 2 * must
-    met = early.join(late, (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must))
-    pairs = met.groupBy(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).agg(F.min(col("a", "doc")).alias("doc"))
-    pairs_table = pairs = cut(pairs, "line-pairs")
-    pairs = pairs.join(pairs.groupBy("b").agg(F.min("doc").alias("least")), "b").select("a", "b", (F.col("doc") == F.col("least")).alias("star"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    hashes = F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w))
-    texts = cut(firsts.select("set_id", hashes.alias("words")).join(wanted, "set_id", "left_semi"), "line-texts")
+    may = (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must)
+    texts = lambda pairs: firsts.select("set_id", "line").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi").select("set_id", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
+    # One candidate a set, of the earliest document: copies of a line with small changes are all near the first of them.
+    pairs = cut(held.alias("a").join(held.alias("b"), may).groupBy(col("b", "set_id").alias("b")).agg(F.min_by(col("a", "set_id"), col("a", "doc")).alias("a")), "line-pairs")
+    words = cut(texts(pairs), "line-texts")
+    found = cut(_verified(pairs, words, num, den), "line-found")
+    drop(words)
+    # Sets whose candidate didn't match meet all their others.
+    open_ = cut(pairs.select(F.col("b").alias("set_id")).join(found, "set_id", "left_anti"), "line-open")
+    drop(pairs)
+    others = cut(held.alias("a").join(held.join(open_, "set_id", "left_semi").alias("b"), may).select(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).distinct(), "line-pairs")
+    words = cut(texts(others), "line-texts")
+    late = cut(found.unionByName(_verified(others, words, num, den)), "line-late")
+    drop(prefixed, words, others, open_, found)
     whole, firsts = firsts, cut(firsts.drop("line"), "line-sets")
     drop(whole)
-    found = cut(_verified(pairs.where("star").drop("star"), texts, num, den), "line-found")
-    more = _verified(pairs.where("not star").drop("star").join(found.withColumnRenamed("set_id", "b"), "b", "left_anti"), texts, num, den)
-    late = cut(found.unionByName(more).distinct(), "line-found")
     gone_sets = late.withColumn("whole", F.lit(True))
     # Of a set that matched an earlier one all lines go, of any other all but the first.
     judged = firsts.join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
     gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
     gone = cut(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    drop(firsts, pairs_table, texts, found, late)
+    drop(sets, firsts, late)
     return gone
 
 

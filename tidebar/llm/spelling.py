@@ -356,7 +356,9 @@ def roots(forms: DataFrame) -> DataFrame:
 def group(words: DataFrame) -> DataFrame:
     """word, n, n_near, form, form_n and root of every row (word, n); `words` is read several times, so pass a written table."""
     pairs = near_words(words)
-    both = pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    # Each pair from both sides, in one pass: a union of two selections would find all pairs twice.
+    sides = F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    both = pairs.select(F.explode(sides).alias("x")).select("x.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
     whole = F.when(-F.col("best.less") >= 2 * F.col("n"), F.col("best"))
     rows = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), whole["form"].alias("form"), (-whole["less"]).alias("form_n"))

@@ -9,7 +9,7 @@ match it. Words are ordered by rarity: all words are counted
 in 65,536 hash buckets (a bound, whatever the corpus), and rank of the bucket and word hash make one ascending key. By
 the prefix filter, two sets that match share a key among the first n - ceil(t n) + 1 of each. Candidates that share one must
 also pass the length filter and the positional filter (places of the shared key and what can follow it) and a
-bitmap filter (64 bits, each word flips one: sets cannot differ in more bits than words). Each line is first held
+bitmap filter (128 bits, each word flips one: sets cannot differ in more bits than words). Each line is first held
 against one candidate, of the earliest document, which is chosen while candidates are joined, so that they are never written;
 only lines that found no match there are held against all others. Jaccard is verified on the 64-bit hashes of the words.
 
@@ -68,19 +68,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
-    sets = cut(_sets(docs, id_col, text_col).where("n > 0").drop("n"), "line-all")
+    sets = _sets(docs, id_col, text_col).where("n > 0").drop("n")
     firsts = cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
     ranks = _ranks(firsts)
     # Exploded from an array of one, so that the keys are made once and the long constant stands in the plan once.
     keyed = firsts.select("set_id", "first", F.explode(F.array(_keys(words_of(F.col("line")), ranks))).alias("keys")).withColumn("n", F.size("keys"))
     least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
-    # Every word flips one of 64 bits: sets that differ in d words differ in at most d bits.
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+    # Every word flips one of 128 bits, in two halves: sets that differ in d words differ in at most d bits.
+    half = lambda upper: F.aggregate(F.filter("keys", lambda k: (k.bitwiseAND(F.lit(64)) != 0) if upper else (k.bitwiseAND(F.lit(64)) == 0)), F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     # The nearest that another set comes to one of n words is n / (n + 1).
-    prefixed = cut(keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", bits.alias("bits"), F.slice("keys", F.lit(1), F.col("n") - least + 1).alias("keys")), "line-prefixes")
-    some = prefixed.select("set_id", "first", "n", "bits", F.posexplode("keys").alias("place", "key"))
+    prefixed = cut(keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", half(False).alias("low"), half(True).alias("high"), F.slice("keys", F.lit(1), F.col("n") - least + 1).alias("keys")), "line-prefixes")
+    some = prefixed.select("set_id", "first", "n", "low", "high", F.posexplode("keys").alias("place", "key"))
     lone = F.lit(-(1 << 63)).cast("long")
-    held = some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "bits")
+    held = some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "low", "high")
 
     def col(side: str, name: str) -> Column:
         return F.col(f"{side}.{name}")
@@ -91,7 +91,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     same_doc, same_line = col("a", "doc") == col("b", "doc"), col("a", "line_no") == col("b", "line_no")
     before = (col("a", "doc") < col("b", "doc")) | (same_doc & (col("a", "line_no") < col("b", "line_no"))) | (same_doc & same_line & (col("a", "set_id") < col("b", "set_id")))
     sized = (den * col("a", "n") >= num * col("b", "n")) & (den * col("b", "n") >= num * col("a", "n"))
-    near = F.bit_count(col("a", "bits").bitwiseXOR(col("b", "bits"))) <= col("a", "n") + col("b", "n") - 2 * must
+    near = F.bit_count(col("a", "low").bitwiseXOR(col("b", "low"))) + F.bit_count(col("a", "high").bitwiseXOR(col("b", "high"))) <= col("a", "n") + col("b", "n") - 2 * must
     may = (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must)
     texts = lambda pairs: firsts.select("set_id", "line").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi").select("set_id", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
     # One candidate a set, of the earliest document: copies of a line with small changes are all near the first of them.
@@ -113,7 +113,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = firsts.join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
     gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
     gone = cut(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    drop(sets, firsts, late)
+    drop(firsts, late)
     return gone
 
 

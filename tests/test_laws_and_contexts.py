@@ -11,7 +11,7 @@ from tidebar import plugins
 from tidebar.functions import recursive
 from tidebar.operators import context as ctx
 from tidebar.operators import executions as ex
-from tidebar.operators import features, laws, levels, miner, sequential
+from tidebar.operators import features, laws, levels, miner, sequential, verdicts
 from tidebar.operators import geometry as geo
 from tidebar.sources import files, governance, times
 
@@ -199,6 +199,50 @@ def test_best_entry_and_grade(spark):
     assert (worst["recommended_entry_mode"], worst["recommended_variant"], worst["confidence_grade"]) == ("NO_TRADE", None, "D")
 
 
+def test_retests_equal_a_loop(spark):
+    rng = np.random.default_rng(12)
+    close = 100 + np.cumsum(rng.normal(0, 1, 80))
+    bars = [(c, c + a, c - z, c) for c, a, z in zip(close, rng.random(80), rng.random(80), strict=True)]
+    b = features.bar_flags(features.base(_ohlc(spark, bars)))
+    got = {r["row_idx"]: r for r in verdicts.retested(b, (3,)).collect()}
+    assert len(got) > 20 and any(r["retest_confirmed"] for r in got.values()) and any(r["failed_before_retest"] for r in got.values())
+    for k, r in got.items():
+        i, side, atr = k - 1, r["side"], r["atr"]
+        edge = bars[i - 1][1] if side > 0 else bars[i - 1][2]
+        failed = confirmed = None
+        for j in range(i + 1, min(80, i + 1 + verdicts.WAIT_BARS)):
+            _, high, low, last = bars[j]
+            near = 0.18 * atr
+            if (last < edge - near) if side > 0 else (last > edge + near):
+                failed = j
+                break
+            if (low <= edge + near and last > edge) if side > 0 else (high >= edge - near and last < edge):
+                confirmed = j
+                break
+        assert (r["failed_before_retest"], r["retest_confirmed"]) == (failed is not None, confirmed is not None)
+        assert r["bars_to_retest"] == (confirmed - i if confirmed is not None else None)
+        for name, at in (("breakout", i), ("retest", confirmed)):
+            seen = [] if at is None else bars[at + 1 : at + 4]
+            if not seen:
+                assert r[f"{name}_mfe_3"] is None
+                continue
+            entry = bars[at][3]
+            mfe = (max(x[1] for x in seen) - entry if side > 0 else entry - min(x[2] for x in seen)) / atr
+            assert r[f"{name}_mfe_3"] == pytest.approx(mfe)
+            assert r[f"{name}_return_3"] == (pytest.approx(side * (seen[-1][3] - entry) / atr) if len(seen) == 3 else None)
+
+
+def test_retest_recommendations(spark):
+    def group(name, n, retests, one, two):
+        """Break-outs with (success, mae, return) `one`, and `two` for the retests of the first of them."""
+        return [(name, k < retests, False, 1, one[0], 1.0, one[1], one[2], *((two[0], 1.0, two[1], two[2]) if k < retests else (None,) * 4)) for k in range(n)]
+
+    rows = group("wait", 20, 10, (0.2, 2.0, -0.5), (0.6, 1.0, 0.5)) + group("now", 20, 10, (0.8, 1.0, 0.5), (0.2, 1.0, -0.1)) + group("avoid", 20, 10, (0.2, 1.0, -0.5), (0.2, 1.0, -0.4)) + group("either", 20, 10, (0.5, 1.0, 0.5), (0.5, 1.0, 0.5)) + group("few", 5, 5, (0.2, 2.0, -0.5), (0.6, 1.0, 0.5))
+    names = "g string, retest_confirmed boolean, failed_before_retest boolean, bars_to_retest int, " + ", ".join(f"{p}_{m}_3 double" for p in ("breakout", "retest") for m in ("success", "mfe", "mae", "return"))
+    out = verdicts.compared(spark.createDataFrame(rows, names), ("g",), (3,), 10, 5)
+    assert {r["g"]: r["recommendation"] for r in out.collect()} == {"wait": "WAIT_FOR_RETEST", "now": "BREAKOUT_ENTRY_PREFERRED", "avoid": "AVOID_PATTERN", "either": "RETEST_OPTIONAL", "few": "INSUFFICIENT_SAMPLE"}
+
+
 # --- Mining ---------------------------------------------------------------------------------------------------------------
 
 

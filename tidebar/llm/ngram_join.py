@@ -48,6 +48,8 @@ BAND = 0.7
 RARE = 1e-5
 BLOCK_BYTES = 4 << 20
 MAX_GROUP = 20_000
+#: Shared signatures (24 bytes each) that are broadcast at most.
+MAX_BROADCAST = 2_000_000
 #: Bytes of bitmaps that one signature may compare.
 MAX_COMPARED = 1 << 31
 #: From so many shingles on a bitmap has four times as many bits.
@@ -326,7 +328,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = F.bit_xor(F.xxhash64("class", F.lit(11)))
     shared = signs.groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), digest.alias("digest")).where("low < high")
     groups = cut(shared.groupBy("low", "high", "n", "digest").agg(F.min("sign").alias("sign")), "ngram-join")
-    met = signs.join(groups.select("sign", "low", "n").hint("merge"), "sign")  # in proportion at every size
+    # Shared signatures are few beside all; beyond MAX_BROADCAST of them both sides are sorted and merged.
+    way = "broadcast" if groups.count() <= MAX_BROADCAST else "merge"
+    met = signs.join(groups.select("sign", "low", "n").hint(way), "sign")
     large = met.where(F.col("n") > MAX_GROUP).where("class <> low").select(F.col("class").alias("u"), F.col("low").alias("v"))
     classes = known.where("class <> 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     small = met.where(F.col("n") <= MAX_GROUP).select("sign", "class").distinct().join(classes, "class").select("sign", "class", "n_shingles", "bits")

@@ -31,7 +31,7 @@ columns of any other names pass through keep_one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp, lgamma, log
 
 import numpy as np
@@ -48,7 +48,9 @@ BAND = 0.7
 RARE = 1e-5
 BLOCK_BYTES = 4 << 20
 MAX_GROUP = 20_000
-#: Shared signatures (24 bytes each) that are broadcast at most.
+#: Signatures are met in so many parts.
+SIGN_PARTS = 4
+#: Shared signatures of a part (24 bytes each) that are broadcast at most.
 MAX_BROADCAST = 2_000_000
 #: Bytes of bitmaps that one signature may compare.
 MAX_COMPARED = 1 << 31
@@ -326,18 +328,34 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = cut(sketch(docs, width, num, den), "ngram-join")
     signs = known.select("class", F.explode("signs").alias("sign"))
     digest = F.bit_xor(F.xxhash64("class", F.lit(11)))
-    shared = signs.groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), digest.alias("digest")).where("low < high")
-    groups = cut(shared.groupBy("low", "high", "n", "digest").agg(F.min("sign").alias("sign")), "ngram-join")
-    # Shared signatures are few beside all; beyond MAX_BROADCAST of them both sides are sorted and merged.
-    way = "broadcast" if groups.count() <= MAX_BROADCAST else "merge"
-    met = signs.join(groups.select("sign", "low", "n").hint(way), "sign")
+
+    def part(rows: DataFrame, k: int) -> DataFrame:
+        return rows.where(F.pmod("sign", F.lit(SIGN_PARTS)) == k)
+
+    def shared(k: int) -> DataFrame:
+        # Dealt out first: a signature and a class are less to ship than the columns of a partial aggregate.
+        found = part(signs, k).repartition(shuffle_partitions(spark), "sign").groupBy("sign").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"), digest.alias("digest")).where("low < high")
+        return found.groupBy("low", "high", "n", "digest").agg(F.min("sign").alias("sign"))
+
+    def holders(k: int) -> DataFrame:
+        # Shared signatures are few beside all; beyond MAX_BROADCAST of them both sides are sorted and merged.
+        chosen = part(groups, k)
+        way = "broadcast" if chosen.count() <= MAX_BROADCAST else "merge"
+        return part(signs, k).join(chosen.select("sign", "low", "n").hint(way), "sign")
+
+    # Signatures are met in parts, one after another, so that shuffles on disk at once hold one part only.
+    parts = [cut(shared(k), "ngram-join") for k in range(SIGN_PARTS)]
+    groups = cut(reduce(DataFrame.unionByName, parts).groupBy("low", "high", "n", "digest").agg(F.min("sign").alias("sign")), "ngram-join")
+    drop(*parts)
+    parts = [cut(holders(k), "ngram-join") for k in range(SIGN_PARTS)]
+    met = reduce(DataFrame.unionByName, parts)
     large = met.where(F.col("n") > MAX_GROUP).where("class <> low").select(F.col("class").alias("u"), F.col("low").alias("v"))
     classes = known.where("class <> 0").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     small = met.where(F.col("n") <= MAX_GROUP).select("sign", "class").distinct().join(classes, "class").select("sign", "class", "n_shingles", "bits")
     small = small.repartition(shuffle_partitions(spark), "sign").sortWithinPartitions("sign", "class")
     clusters = roots(large.unionByName(_candidates(small, num, den)), "ngram-join")
     signed, known = known, cut(known.drop("signs", "bits"), "ngram-join")
-    drop(signed, groups)
+    drop(signed, groups, *parts)
     member = clusters.select("root", F.col("node").alias("class")).unionByName(clusters.select("root", F.col("root").alias("class")).distinct())
     one = known.where("class <> 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     wanted = member.join(one, "class").select("root", "class", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"))

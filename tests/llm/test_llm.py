@@ -264,6 +264,33 @@ def test_short_lines_go_too(spark):
     assert {r["doc_id"]: r["gone"] for r in got} == want and sum(map(len, want.values())) == 6
 
 
+def _joined_rows(spark, since: int) -> int:
+    """The most rows that a sort-merge join of the executions from `since` on has made."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    for at in range(since, store.executionsCount()):
+        execution = store.executionsList().apply(at).executionId()
+        got, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            rows = [m.accumulatorId() for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "number of output rows"]
+            if node.name().startswith("SortMergeJoin") and rows and got.contains(rows[0]):
+                most = max(most, int(got.apply(rows[0]).replace(",", "")))
+    return most
+
+
+def test_line_dedup_of_a_large_group_of_near_lines_makes_no_square(spark):
+    base = [f"word{k}" for k in range(20)]
+    rows = [(k, " ".join([*base[: k % 20], f"own{k}", *base[k % 20 + 1 :]])) for k in range(400)]
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Any two share at least 18 of their 22 words.
+    assert {r["doc_id"] for r in got} == set(range(1, 400)) and all(r["gone"] == [0] for r in got)
+    assert 0 < _joined_rows(spark, before) < 10_000
+
+
 def test_keep_one_leaves_one_of_repeated_rows(spark):
     text = "one two three four five six seven"
     rows = [(1, text), (1, text), (2, text), (2, text), (3, "alone with words of its own here"), (3, "alone with words of its own here"), (None, "no id but words enough for one"), (None, "no id but words enough for one"), (4, ""), (4, "")]

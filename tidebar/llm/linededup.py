@@ -5,13 +5,14 @@ then (for equal ids) by hashes. A line goes if an earlier line has a Jaccard sim
 itself or not. Sets too small for any other set to come that near match by equality alone.
 
 Equal sets meet by their hash, and only the first line of each set goes on, if it has words enough that another set can
-match it. Words are ordered by rarity: all words are counted
-in 65,536 hash buckets (a bound, whatever the corpus), and rank of the bucket and word hash make one ascending key. By
-the prefix filter, two sets that match share a key among the first n - ceil(t n) + 1 of each. Candidates that share one must
-also pass the length filter and the positional filter (places of the shared key and what can follow it) and a
-bitmap filter (128 bits, each word flips one: sets cannot differ in more bits than words). Each line is first held
-against one candidate, of the earliest document, which is chosen while candidates are joined, so that they are never written;
-only lines that found no match there are held against all others. Jaccard is verified on the 64-bit hashes of the words.
+match it. All words are counted in 2 ** BUCKET_BITS hash buckets (a bound, whatever the corpus), and the level of the bucket's
+count and the word's hash make one ascending key, the rarest first. By the prefix filter, two sets that match share a key among
+the first n - ceil(t n) + 1 of each. Candidates that share one must also pass the length filter and the positional filter
+(places of the shared key and what can follow it) and a bitmap filter (128 bits, each word flips one: sets cannot differ in
+more bits than words). Each line is first held against the earliest lines of its keys, a row a key, so that a group of many near
+lines makes no square of pairs; sets that found no match there, and only they, are held against all earlier sets of all
+their keys. Keys are met in parts to bound the disk, and Jaccard is verified on the 64-bit hashes of the words, of lines that are
+read again for the sets in pairs alone.
 
 Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document; very long texts and
 lines are taken whole; empty tables give empty results; columns of any other names pass through remove_lines.
@@ -19,101 +20,150 @@ lines are taken whole; empty tables give empty results; columns of any other nam
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidebar.llm.store import cut, drop
 
-BUCKETS = 1 << 16
+#: Words are counted in 2 ** BUCKET_BITS buckets.
+BUCKET_BITS = 19
+#: Keys are met in so many parts.
+PARTS = 4
+#: Sets from so many words on meet the first sets of a third of their keys.
+FEW = 30
+#: Sets (32 bytes each) whose lines are looked up by broadcast at most.
+MAX_BROADCAST = 500_000
 
 
 def words_of(line: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.translate(line, "\t\r\x0b\x0c", "    "), " "), ""))
 
 
-def _bucket(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 48)
-
+def _hashed(word: Column) -> Column:
+    return F.xxhash64(word)
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row per line with the size and the hash of its set. The words are made once, in what is exploded."""
-    text = F.col(f"`{text_col}`").cast("string")
-    made = F.transform(F.split(text, "\n"), lambda line: F.struct(line.alias("line"), F.transform(words_of(line), lambda w: F.xxhash64(w)).alias("hashes")))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(made).alias("line_no", "x"))
-    whole = F.aggregate("x.hashes", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
-    return rows.select("doc_id", "text_hash", "line_no", "x.line", F.size("x.hashes").alias("n"), F.xxhash64(whole, F.size("x.hashes")).alias("set_id"))
 
+def _levels(docs: DataFrame) -> Column:
+    """How often the words of each bucket occur, in quarters of octaves (so below 128), a byte a bucket, as a constant."""
+    words = F.explode(F.split(F.translate("text", "\n\t\r\x0b\x0c", "     "), " "))
+    counts = docs.select(words.alias("w")).where("w <> ''").groupBy(F.shiftrightunsigned(_hashed(F.col("w")), 64 - BUCKET_BITS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    found = counts.select("bucket", F.least(F.floor(4 * F.log2("n")), F.lit(126)).cast("int").alias("level")).toPandas()  # at most a row a bucket
+    table = np.zeros(1 << BUCKET_BITS, np.uint8)
+    table[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
+    return F.lit(table.tobytes())
 
-def _ranks(lines: DataFrame) -> Column:
-    """An array of the rank of each bucket, rarest first, as a constant."""
-    counts = lines.select(F.explode(F.split(F.translate("line", "\t\r\x0b\x0c", "    "), " ")).alias("w")).where("w <> ''").groupBy(_bucket(F.col("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
-    ranked = every.select("bucket", (F.row_number().over(Window.orderBy("n", "bucket")) - 1).alias("rank"))
-    found = ranked.orderBy("bucket").select("rank").toPandas()["rank"].tolist()  # always BUCKETS numbers
-    return F.from_json(F.lit(str(found)), "array<bigint>")
 
+def _keys(words: Column, levels: Column) -> Column:
+    """The word hashes with the level of their bucket above 57 of their bits: rarest first."""
+    level = lambda h: F.ascii(F.substr(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.sort_array(F.transform(F.transform(words, _hashed), lambda h: F.shiftleft((level(h) - 64).cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
 
-def _keys(words: Column, ranks: Column) -> Column:
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.shiftrightunsigned(h, 48).cast("int")), 47).bitwiseOR(h.bitwiseAND(F.lit((1 << 47) - 1)))))
 
-
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The later sets (b) of pairs (a, b) that match."""
+def _lines(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """A row per line with words: its set's hash, size, bitmap and prefix keys. The words are made once, in what is exploded."""
+    levels = _levels(docs)
+    made = F.transform(F.split("text", "\n"), lambda line: _keys(words_of(line), levels))
+    rows = docs.select("doc_id", "text_hash", F.posexplode(made).alias("line_no", "keys"))
+    rows = rows.withColumn("n", F.size("keys")).where("n > 0")
+    folded = lambda of: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(of(k)))
+    # Every word flips one of 128 bits, in two halves: sets that differ in d words differ in at most d bits.
+    bit = lambda k, upper: F.call_function("shiftleft", F.shiftright(k if upper else F.bitwise_not(k), 6).bitwiseAND(F.lit(1).cast("long")), k.bitwiseAND(F.lit(63)).cast("int"))
+    least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
+    # The nearest that another set comes to one of n words is n / (n + 1).
+    prefix = F.when((den - num) * F.col("n") >= num, F.slice("keys", F.lit(1), F.col("n") - least + 1))
+    return rows.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("keys").alias("set_id"), folded(lambda k: bit(k, False)).alias("low"), folded(lambda k: bit(k, True)).alias("high"), prefix.alias("keys"))
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """The later sets (b) of pairs (a, b) that match, on the hashes of their words."""
+    sets = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = cut(firsts.select("set_id", "first.doc_id", "first.text_hash", "first.line_no").join(sets, "set_id", "left_semi"), "line-wanted")
+    # Sets in pairs are few beside all lines; beyond MAX_BROADCAST of them both sides are sorted and merged.
+    way = "broadcast" if wanted.count() <= MAX_BROADCAST else "merge"
+    ids = wanted.select(F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash")).distinct()
+    read = docs.join(ids.hint(way), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")), "left_semi")
+    lines = read.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    met = lines.join(wanted.hint(way), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("at") == F.col("line_no")))
+    # Rows that are equal in id and text have the same lines.
+    texts = cut(met.groupBy("set_id").agg(F.min("line").alias("line")).select("set_id", F.transform(words_of(F.col("line")), _hashed).alias("words")), "line-texts")
     met = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("words").alias("wb")), "b")
     n = F.size(F.array_intersect("wa", "wb"))
-    return met.where((num + den) * n >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct()
+    found = cut(met.where((num + den) * n >= num * (F.size("wa") + F.size("wb"))).select(F.col("b").alias("set_id")).distinct(), "line-found")
+    drop(wanted, texts)
+    return found
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
-    sets = _sets(docs, id_col, text_col).where("n > 0").drop("n")
-    firsts = cut(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash")).alias("first"), F.min("line").alias("line"), F.count("*").alias("copies")), "line-sets")
-    ranks = _ranks(firsts)
-    # Exploded from an array of one, so that the keys are made once and the long constant stands in the plan once.
-    keyed = firsts.select("set_id", "first", F.explode(F.array(_keys(words_of(F.col("line")), ranks))).alias("keys")).withColumn("n", F.size("keys"))
-    least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
-    # Every word flips one of 128 bits, in two halves: sets that differ in d words differ in at most d bits.
-    half = lambda upper: F.aggregate(F.filter("keys", lambda k: (k.bitwiseAND(F.lit(64)) != 0) if upper else (k.bitwiseAND(F.lit(64)) == 0)), F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    # The nearest that another set comes to one of n words is n / (n + 1).
-    prefixed = cut(keyed.where((den - num) * F.col("n") >= num).select("set_id", "first", "n", half(False).alias("low"), half(True).alias("high"), F.slice("keys", F.lit(1), F.col("n") - least + 1).alias("keys")), "line-prefixes")
-    some = prefixed.select("set_id", "first", "n", "low", "high", F.posexplode("keys").alias("place", "key"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    full = cut(_lines(docs, num, den), "lines")
+    firsts = cut(full.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "text_hash", "n", "low", "high", "keys")).alias("first"), F.count("*").alias("copies")), "line-sets")
+    lines = cut(full.select("doc_id", "text_hash", "line_no", "set_id"), "lines")
+    drop(full)
     lone = F.lit(-(1 << 63)).cast("long")
-    held = some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), F.col("first.line_no").alias("line_no"), "set_id", "n", "place", "low", "high")
-
-    def col(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
-
-    must = F.floor((num * (col("a", "n") + col("b", "n")) + num + den - 1) / (num + den))
-    # Both can share no more than what follows the key and what stands before it.
-    rest = F.least(col("a", "n") - col("a", "place"), col("b", "n") - col("b", "place")) + F.least(col("a", "place"), col("b", "place"))
-    same_doc, same_line = col("a", "doc") == col("b", "doc"), col("a", "line_no") == col("b", "line_no")
-    before = (col("a", "doc") < col("b", "doc")) | (same_doc & (col("a", "line_no") < col("b", "line_no"))) | (same_doc & same_line & (col("a", "set_id") < col("b", "set_id")))
-    sized = (den * col("a", "n") >= num * col("b", "n")) & (den * col("b", "n") >= num * col("a", "n"))
-    near = F.bit_count(col("a", "low").bitwiseXOR(col("b", "low"))) + F.bit_count(col("a", "high").bitwiseXOR(col("b", "high"))) <= col("a", "n") + col("b", "n") - 2 * must
-    may = (col("a", "key") == col("b", "key")) & before & sized & near & (rest >= must)
-    texts = lambda pairs: firsts.select("set_id", "line").join(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi").select("set_id", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("words"))
-    # One candidate a set, of the earliest document: copies of a line with small changes are all near the first of them.
-    pairs = cut(held.alias("a").join(held.alias("b"), may).groupBy(col("b", "set_id").alias("b")).agg(F.min_by(col("a", "set_id"), col("a", "doc")).alias("a")), "line-pairs")
-    words = cut(texts(pairs), "line-texts")
-    found = cut(_verified(pairs, words, num, den), "line-found")
-    drop(words)
-    # Sets whose candidate didn't match meet all their others.
-    open_ = cut(pairs.select(F.col("b").alias("set_id")).join(found, "set_id", "left_anti"), "line-open")
-    drop(pairs)
-    others = cut(held.alias("a").join(held.join(open_, "set_id", "left_semi").alias("b"), may).select(col("a", "set_id").alias("a"), col("b", "set_id").alias("b")).distinct(), "line-pairs")
-    words = cut(texts(others), "line-texts")
-    late = cut(found.unionByName(_verified(others, words, num, den)), "line-late")
-    drop(prefixed, words, others, open_, found)
-    whole, firsts = firsts, cut(firsts.drop("line"), "line-sets")
-    drop(whole)
-    gone_sets = late.withColumn("whole", F.lit(True))
+    side = ("doc", "line_no", "set_id", "n", "place", "low", "high")
+
+    def held(part: int, found: DataFrame | None = None) -> DataFrame:
+        """A row per set and key of one part of the keys, with whether the set's match is known."""
+        some = firsts.select("set_id", "first", F.posexplode("first.keys").alias("place", "key")).where(F.pmod("key", F.lit(PARTS)) == part)
+        done = F.lit(False)
+        if found is not None:
+            some, done = some.join(found.select("set_id", F.lit(True).alias("done")), "set_id", "left"), F.coalesce("done", F.lit(False))
+        return some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), "first.line_no", "set_id", "first.n", "place", "first.low", "first.high", done.alias("done"))
+
+    def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        """Whether a, that shares a key with b, is earlier and may match it."""
+        must = F.floor((num * (a("n") + b("n")) + num + den - 1) / (num + den))
+        # Both can share no more than what follows the key and what stands before it.
+        rest = F.least(a("n") - a("place"), b("n") - b("place")) + F.least(a("place"), b("place"))
+        same_doc, same_line = a("doc") == b("doc"), a("line_no") == b("line_no")
+        before = (a("doc") < b("doc")) | (same_doc & (a("line_no") < b("line_no"))) | (same_doc & same_line & (a("set_id") < b("set_id")))
+        sized = (den * a("n") >= num * b("n")) & (den * b("n") >= num * a("n"))
+        bits = F.bit_count(a("low").bitwiseXOR(b("low"))) + F.bit_count(a("high").bitwiseXOR(b("high"))) <= a("n") + b("n") - 2 * must
+        return before & sized & bits & (rest >= must)
+
+    def of(side: str) -> Callable[[str], Column]:
+        return lambda name: F.col(f"{side}.{name}")
+
+    def candidates(part: int) -> DataFrame:
+        """For each set the earliest of its key, as copies with small changes are all near the first of them: a row each, not one a pair.
+
+        Sets of one key are told apart by eight bits of their bitmaps, which differ from key to key, so that a frequent key has many firsts.
+        """
+        cell = F.call_function("shiftrightunsigned", F.col("low"), F.pmod("key", F.lit(57)).cast("int")).bitwiseAND(F.lit(255))
+        # Of sets with many keys some will do: who meets no near set here meets all others later.
+        rows = held(part).where((F.col("n") < FEW) | (F.pmod("key", F.lit(3 * PARTS)) < PARTS)).withColumn("cell", cell)
+        least = F.min(F.struct(*side)).over(Window.partitionBy("key", "cell"))
+        rows = rows.select(F.struct(*side).alias("b"), least.alias("a")).where(near(of("a"), of("b")))
+        return rows.groupBy(F.col("b.set_id").alias("b")).agg(F.min_by("a.set_id", "a.doc").alias("a"))
+
+    def others(part: int, found: DataFrame) -> DataFrame:
+        """All earlier sets that share a key and may match, for sets without a match so far."""
+        rows = held(part, found)
+        may = (F.col("a.key") == F.col("b.key")) & ~F.col("b.done") & near(of("a"), of("b"))
+        return rows.alias("a").join(rows.alias("b"), may).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
+
+    # Keys are met in parts, one after another, so that shuffles on disk at once hold one part only.
+    parts = [cut(candidates(part), "line-pairs") for part in range(PARTS)]
+    pairs = cut(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
+    found = _verified(pairs, firsts, docs, num, den)
+    drop(pairs, *parts)
+    parts = [cut(others(part, found), "line-pairs") for part in range(PARTS)]
+    pairs = cut(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
+    late = _verified(pairs, firsts, docs, num, den)
+    drop(pairs, *parts)
     # Of a set that matched an earlier one all lines go, of any other all but the first.
-    judged = firsts.join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
-    gone = sets.select("doc_id", "text_hash", "line_no", "set_id").join(judged.select("set_id", "first", "whole"), "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
+    gone_sets = found.unionByName(late).withColumn("whole", F.lit(True))
+    judged = firsts.select("set_id", "first.doc_id", "first.line_no", "first.text_hash", "copies").join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
+    judged = judged.select("set_id", F.struct("doc_id", "line_no", "text_hash").alias("first"), "whole")
+    gone = lines.select("doc_id", "text_hash", "line_no", "set_id").join(judged, "set_id").where(F.col("whole") | ~F.struct("doc_id", "line_no", "text_hash").eqNullSafe(F.col("first")))
     gone = cut(gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")), "line-gone")
-    drop(firsts, late)
+    drop(lines, firsts, found, late)
     return gone
 
 

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import re
 import sys
 import zlib
@@ -291,6 +292,24 @@ def test_line_dedup_of_a_large_group_of_near_lines_makes_no_square(spark):
     assert 0 < _joined_rows(spark, before) < 10_000
 
 
+def test_line_dedup_of_near_lines_that_match_few_others_makes_no_square(spark):
+    spots = list(itertools.combinations(range(12), 3))
+    lines = [[f"own{k % 600}x{j}" if j in spots[k * 37 % len(spots)] else f"word{j}" for j in range(40)] for k in range(1200)]
+    seen, want = [], set()
+    for k, words in enumerate(map(set, lines)):
+        if any(9 * len(words & other) >= 4 * (len(words) + len(other)) for other in seen):
+            want.add(k)
+        seen.append(words)
+    before = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = linededup.removed_lines(spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines)], "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["doc_id"] for r in got} == want and len(want) > 1000
+    assert _joined_rows(spark, before) < 50_000  # a pair for each key that it shares: 346,846
+
+
 def test_keep_one_leaves_one_of_repeated_rows(spark):
     text = "one two three four five six seven"
     rows = [(1, text), (1, text), (2, text), (2, text), (3, "alone with words of its own here"), (3, "alone with words of its own here"), (None, "no id but words enough for one"), (None, "no id but words enough for one"), (4, ""), (4, "")]

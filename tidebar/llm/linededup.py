@@ -8,11 +8,13 @@ Equal sets meet by their hash, and only the first line of each set goes on, if i
 match it. All words are counted in 2 ** BUCKET_BITS hash buckets (a bound, whatever the corpus), and the level of the bucket's
 count and the word's hash make one ascending key, the rarest first. By the prefix filter, two sets that match share a key among
 the first n - ceil(t n) + 1 of each. Candidates that share one must also pass the length filter and the positional filter
-(places of the shared key and what can follow it) and a bitmap filter (128 bits, each word flips one: sets cannot differ in
-more bits than words). Each line is first held against the earliest lines of its keys, a row a key, so that a group of many near
-lines makes no square of pairs; sets that found no match there, and only they, are held against all earlier sets of all
-their keys. Keys are met in parts to bound the disk, and Jaccard is verified on the 64-bit hashes of the words, of lines that are
-read again for the sets in pairs alone.
+(places of the shared key and what can follow it) and a bitmap filter (64 bits, 128 between sets of many words, each word flips
+one: sets cannot differ in more bits than words). Each line is first held against the earliest lines of a few of its keys and
+those next to it by bitmap, a few rows a key, so that a group of many near lines makes no square of pairs; sets that found no
+match there, and only they, are held against all earlier sets of all their keys. There a pair need only be met at the first key
+that it shares, so it is passed over where the keys before are equal too and where fewer words follow than must be shared. Keys
+are met in parts to bound the disk, and Jaccard is verified on the 64-bit hashes of the words, of lines that are read again for
+the sets in pairs alone.
 
 Null texts have no lines; ids may be null or repeat; rows equal in id and text count as one document; very long texts and
 lines are taken whole; empty tables give empty results; columns of any other names pass through remove_lines.
@@ -31,17 +33,30 @@ from pyspark.sql.window import Window
 from tidebar.llm.store import cut, drop
 
 #: Words are counted in 2 ** BUCKET_BITS buckets.
-BUCKET_BITS = 19
+BUCKET_BITS = 17
+#: Sets of so many words have a second half of their bitmaps.
+MANY = 64
 #: Keys are met in so many parts.
-PARTS = 4
-#: Sets from so many words on meet the first sets of a third of their keys.
-FEW = 30
+PARTS = 2
+#: Sets first meet a few sets of so many of their keys at most.
+FEW = 5
+#: There they also meet so many that stand before them by bitmap, as those meet them; among CROWD sets and more the second number.
+BESIDE, AMID, CROWD = 2, 6, 64
 #: Sets (32 bytes each) whose lines are looked up by broadcast at most.
 MAX_BROADCAST = 500_000
 
 
+def _spaced(text: Column, of: str = "\t\r\x0b\x0c") -> Column:
+    """text with spaces for these characters. Replacing leaves a text without them as it is; translate() takes every character apart."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), of, text)
+
+
+def _distinct(spaced: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(spaced, " "), ""))
+
+
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, "\t\r\x0b\x0c", "    "), " "), ""))
+    return _distinct(_spaced(line))
 
 
 def _hashed(word: Column) -> Column:
@@ -49,34 +64,36 @@ def _hashed(word: Column) -> Column:
 
 
 def _levels(docs: DataFrame) -> Column:
-    """How often the words of each bucket occur, in quarters of octaves (so below 128), a byte a bucket, as a constant."""
-    words = F.explode(F.split(F.translate("text", "\n\t\r\x0b\x0c", "     "), " "))
+    """How often the words of each bucket occur, in quarters of octaves (so below 128), as a constant array."""
+    words = F.explode(F.split(_spaced(F.col("text"), "\n\t\r\x0b\x0c"), " "))
     counts = docs.select(words.alias("w")).where("w <> ''").groupBy(F.shiftrightunsigned(_hashed(F.col("w")), 64 - BUCKET_BITS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     found = counts.select("bucket", F.least(F.floor(4 * F.log2("n")), F.lit(126)).cast("int").alias("level")).toPandas()  # at most a row a bucket
-    table = np.zeros(1 << BUCKET_BITS, np.uint8)
-    table[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
-    return F.lit(table.tobytes())
+    table = np.full(1 << BUCKET_BITS, -64)
+    table[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.int64) - 64  # as the highest bits of a signed number
+    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")  # folded once by the optimizer
 
 
 def _keys(words: Column, levels: Column) -> Column:
     """The word hashes with the level of their bucket above 57 of their bits: rarest first."""
-    level = lambda h: F.ascii(F.substr(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int") + 1, F.lit(1)).cast("string"))
-    return F.sort_array(F.transform(F.transform(words, _hashed), lambda h: F.shiftleft((level(h) - 64).cast("long"), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
+    level = lambda h: F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
+    return F.sort_array(F.transform(F.transform(words, _hashed), lambda h: F.shiftleft(level(h), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
 
 
 def _lines(docs: DataFrame, num: int, den: int) -> DataFrame:
     """A row per line with words: its set's hash, size, bitmap and prefix keys. The words are made once, in what is exploded."""
     levels = _levels(docs)
-    made = F.transform(F.split("text", "\n"), lambda line: _keys(words_of(line), levels))
+    made = F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: _keys(_distinct(line), levels))
     rows = docs.select("doc_id", "text_hash", F.posexplode(made).alias("line_no", "keys"))
     rows = rows.withColumn("n", F.size("keys")).where("n > 0")
     folded = lambda of: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(of(k)))
-    # Every word flips one of 128 bits, in two halves: sets that differ in d words differ in at most d bits.
-    bit = lambda k, upper: F.call_function("shiftleft", F.shiftright(k if upper else F.bitwise_not(k), 6).bitwiseAND(F.lit(1).cast("long")), k.bitwiseAND(F.lit(63)).cast("int"))
+    # Every word flips one of 64 bits, so that sets that differ in d words differ in at most d bits; of many words those with a seventh bit, too.
+    bit = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
+    low = folded(lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), bit(k)))
+    high = F.when(F.col("n") >= MANY, folded(lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long")), bit(k)))).otherwise(F.lit(0).cast("long"))
     least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
     # The nearest that another set comes to one of n words is n / (n + 1).
     prefix = F.when((den - num) * F.col("n") >= num, F.slice("keys", F.lit(1), F.col("n") - least + 1))
-    return rows.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("keys").alias("set_id"), folded(lambda k: bit(k, False)).alias("low"), folded(lambda k: bit(k, True)).alias("high"), prefix.alias("keys"))
+    return rows.select("doc_id", "text_hash", "line_no", "n", F.xxhash64("keys").alias("set_id"), low.alias("low"), high.alias("high"), prefix.alias("keys"))
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
@@ -108,52 +125,70 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lone = F.lit(-(1 << 63)).cast("long")
     side = ("doc", "line_no", "set_id", "n", "place", "low", "high")
 
-    def held(part: int, found: DataFrame | None = None) -> DataFrame:
-        """A row per set and key of one part of the keys, with whether the set's match is known."""
-        some = firsts.select("set_id", "first", F.posexplode("first.keys").alias("place", "key")).where(F.pmod("key", F.lit(PARTS)) == part)
-        done = F.lit(False)
-        if found is not None:
-            some, done = some.join(found.select("set_id", F.lit(True).alias("done")), "set_id", "left"), F.coalesce("done", F.lit(False))
-        return some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), "first.line_no", "set_id", "first.n", "place", "first.low", "first.high", done.alias("done"))
+    def held(sets: DataFrame, part: Column, *more: str) -> DataFrame:
+        """A row per set and key of this part."""
+        some = sets.select("set_id", "first", *more, F.posexplode("first.keys").alias("place", "key")).where(part)
+        some = some.where(F.shiftright("key", 57) > -64)  # a word of the lowest level occurs once, so in one set
+        return some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), "first.line_no", "set_id", "first.n", "place", "first.low", "first.high", F.get("first.keys", F.col("place") - 1).alias("prior"), *more)
 
-    def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        """Whether a, that shares a key with b, is earlier and may match it."""
+    def near(a: Callable[[str], Column], b: Callable[[str], Column], before_key: Column | int) -> Column:
+        """Whether a, that shares a key with b, is earlier and may match it, where so many words before the key may be shared."""
         must = F.floor((num * (a("n") + b("n")) + num + den - 1) / (num + den))
-        # Both can share no more than what follows the key and what stands before it.
-        rest = F.least(a("n") - a("place"), b("n") - b("place")) + F.least(a("place"), b("place"))
+        rest = F.least(a("n") - a("place"), b("n") - b("place")) + before_key
         same_doc, same_line = a("doc") == b("doc"), a("line_no") == b("line_no")
         before = (a("doc") < b("doc")) | (same_doc & (a("line_no") < b("line_no"))) | (same_doc & same_line & (a("set_id") < b("set_id")))
         sized = (den * a("n") >= num * b("n")) & (den * b("n") >= num * a("n"))
-        bits = F.bit_count(a("low").bitwiseXOR(b("low"))) + F.bit_count(a("high").bitwiseXOR(b("high"))) <= a("n") + b("n") - 2 * must
+        low, high = a("low").bitwiseXOR(b("low")), a("high").bitwiseXOR(b("high"))
+        differ = F.when((a("n") >= MANY) & (b("n") >= MANY), F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high)).otherwise(F.bit_count(low))
+        bits = differ <= a("n") + b("n") - 2 * must
         return before & sized & bits & (rest >= must)
 
     def of(side: str) -> Callable[[str], Column]:
         return lambda name: F.col(f"{side}.{name}")
 
-    def candidates(part: int) -> DataFrame:
-        """For each set the earliest of its key, as copies with small changes are all near the first of them: a row each, not one a pair.
+    def candidates() -> DataFrame:
+        """For each set the earliest of a few keys and those next to it by bitmap: a few rows a key, not one a pair.
 
-        Sets of one key are told apart by eight bits of their bitmaps, which differ from key to key, so that a frequent key has many firsts.
+        Copies with small changes are near the first of them, or else have bitmaps like each other's. Bitmaps are turned by the key, so that
+        each key puts others beside a set, and keys are dealt by four bits of them, so that a frequent key has several firsts.
         """
-        cell = F.call_function("shiftrightunsigned", F.col("low"), F.pmod("key", F.lit(57)).cast("int")).bitwiseAND(F.lit(255))
-        # Of sets with many keys some will do: who meets no near set here meets all others later.
-        rows = held(part).where((F.col("n") < FEW) | (F.pmod("key", F.lit(3 * PARTS)) < PARTS)).withColumn("cell", cell)
-        least = F.min(F.struct(*side)).over(Window.partitionBy("key", "cell"))
-        rows = rows.select(F.struct(*side).alias("b"), least.alias("a")).where(near(of("a"), of("b")))
-        return rows.groupBy(F.col("b.set_id").alias("b")).agg(F.min_by("a.set_id", "a.doc").alias("a"))
-
-    def others(part: int, found: DataFrame) -> DataFrame:
-        """All earlier sets that share a key and may match, for sets without a match so far."""
-        rows = held(part, found)
-        may = (F.col("a.key") == F.col("b.key")) & ~F.col("b.done") & near(of("a"), of("b"))
-        return rows.alias("a").join(rows.alias("b"), may).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
-
-    # Keys are met in parts, one after another, so that shuffles on disk at once hold one part only.
-    parts = [cut(candidates(part), "line-pairs") for part in range(PARTS)]
-    pairs = cut(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
+        by = F.pmod("key", F.lit(61)).cast("int")
+        turned = F.call_function("shiftleft", F.col("low"), by).bitwiseOR(F.call_function("shiftrightunsigned", F.col("low"), 64 - by))
+        # The rarest keys of a copy are its own changes, so keys are taken from the last one on, evenly.
+        step = F.ceil(F.size("first.keys") / FEW)
+        rows = held(firsts, F.pmod(F.size("first.keys") - 1 - F.col("place"), step) == 0).withColumn("turned", turned).withColumn("cell", F.shiftright("turned", 60))
+        cell = Window.partitionBy("key", "cell").orderBy("turned")
+        whole = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        beside = [F.lag(F.struct(*side), k).over(cell).alias(f"beside{k}") for k in range(1, AMID + 1)]
+        rows = rows.select(F.struct(*side).alias("x"), F.min(F.struct(*side)).over(whole).alias("first"), F.count("*").over(whole).alias("sets"), *beside).where("sets > 1")
+        few, many = (F.array("first", *(f"beside{k}" for k in range(1, n + 1))) for n in (BESIDE, AMID))
+        met = rows.select("x", F.explode(F.when(F.col("sets") < CROWD, few).otherwise(many)).alias("y"))
+        shared = F.least("x.place", "y.place")
+        forth, back = near(of("x"), of("y"), shared), near(of("y"), of("x"), shared)
+        pairs = met.select(F.when(forth, F.struct(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))).when(back, F.struct(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b"))).alias("pair"))
+        return pairs.where("pair IS NOT NULL").select("pair.a", "pair.b").distinct()
+
+    def others(part: Column, sets: DataFrame) -> DataFrame:
+        """All earlier sets that share a key of this part and may match, for sets without a match so far; pairs at the first key that they share."""
+        rows = held(sets, part, "open")
+        # What is said of b names a, too, so that both sides have the same rows and are shuffled once.
+        is_open = of("b")("open") * (of("a")("n") + of("a")("open")) > 0
+        first_shared = F.coalesce(of("a")("prior") != of("b")("prior"), F.lit(True))
+        may = (F.col("a.key") == F.col("b.key")) & is_open & first_shared & near(of("a"), of("b"), 0)
+        return rows.alias("a").join(rows.alias("b"), may).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
+
+    pairs = cut(candidates(), "line-pairs")
     found = _verified(pairs, firsts, docs, num, den)
-    drop(pairs, *parts)
-    parts = [cut(others(part, found), "line-pairs") for part in range(PARTS)]
+    drop(pairs)
+    # Which sets are open is told before their keys are dealt out, so that no row a key is shuffled for it.
+    few = found.count() <= MAX_BROADCAST
+    sets = firsts.join(found.select("set_id", F.lit(0).alias("open")).hint("broadcast" if few else "merge"), "set_id", "left").withColumn("open", F.coalesce("open", F.lit(1)))
+    if not few:
+        sets, before = cut(sets, "line-sets"), firsts
+        firsts = sets
+        drop(before)
+    # Keys are met in parts, one after another, so that shuffles on disk at once hold one part only.
+    parts = [cut(others(F.pmod("key", F.lit(PARTS)) == part, sets), "line-pairs") for part in range(PARTS)]
     pairs = cut(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
     late = _verified(pairs, firsts, docs, num, den)
     drop(pairs, *parts)

@@ -278,6 +278,47 @@ def _joined_rows(spark, since: int) -> int:
     return most
 
 
+def _shuffled_rows(spark, run) -> list[int]:
+    """The rows that each exchange of run()'s executions has written."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    since = store.executionsCount()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = {}
+    for at in range(since, store.executionsCount()):
+        execution = store.executionsList().apply(at).executionId()
+        got, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            own = [m.accumulatorId() for m in (node.metrics().apply(k) for k in range(node.metrics().size())) if m.name() == "shuffle records written"]
+            if node.name() == "Exchange" and own and got.contains(own[0]):
+                rows[own[0]] = int(got.apply(own[0]).replace(",", ""))
+    return list(rows.values())
+
+
+def _unlike_lines(spark):
+    """600 lines of 60 words, of 13 keys each, none like another."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{x}" for x in rng.choice(1500, 60, replace=False))) for k in range(600)]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+def test_line_dedup_deals_three_keys_a_set_before_all_of_them(spark):
+    rows = _shuffled_rows(spark, lambda: linededup.removed_lines(_unlike_lines(spark)).collect())
+    keys = [n for n in rows if n > 1700]
+    assert max(keys) < 5000  # half of the keys: both sides of the join have one shuffle
+    assert len(keys) == 3 and sum(n <= 1800 for n in keys) == 1, sorted(rows)  # 3 and not 5 a set first, then the two halves
+
+
+def test_line_dedup_of_the_pipeline_shuffles_a_quarter_of_the_keys_at_once(spark):
+    import corpus_pipeline
+
+    docs = _unlike_lines(spark)
+    assert 1000 < max(_shuffled_rows(spark, lambda: corpus_pipeline.line_dedup(spark, docs, "").collect())) < 2600
+
+
 def test_line_dedup_of_a_large_group_of_near_lines_makes_no_square(spark):
     base = [f"word{k}" for k in range(20)]
     rows = [(k, " ".join([*base[: k % 20], f"own{k}", *base[k % 20 + 1 :]])) for k in range(400)]

@@ -36,10 +36,10 @@ from tidebar.llm.store import cut, drop
 BUCKET_BITS = 17
 #: Sets of so many words have a second half of their bitmaps.
 MANY = 64
-#: Keys are met in so many parts.
+#: Keys are met in so many parts: more of them take less disk at once and read the sets more often.
 PARTS = 2
 #: Sets first meet a few sets of so many of their keys at most.
-FEW = 5
+FEW = 3
 #: There they also meet so many that stand before them by bitmap, as those meet them; among CROWD sets and more the second number.
 BESIDE, AMID, CROWD = 2, 6, 64
 #: Sets (32 bytes each) whose lines are looked up by broadcast at most.
@@ -69,27 +69,34 @@ def _levels(docs: DataFrame) -> Column:
     counts = docs.select(words.alias("w")).where("w <> ''").groupBy(F.shiftrightunsigned(_hashed(F.col("w")), 64 - BUCKET_BITS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     found = counts.select("bucket", F.least(F.floor(4 * F.log2("n")), F.lit(126)).cast("int").alias("level")).toPandas()  # at most a row a bucket
     table = np.full(1 << BUCKET_BITS, -64)
-    table[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.int64) - 64  # as the highest bits of a signed number
+    table[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.int64) - 64
+    table <<= 57  # as the highest bits of a signed number
     return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")  # folded once by the optimizer
 
 
-def _keys(words: Column, levels: Column) -> Column:
-    """The word hashes with the level of their bucket above 57 of their bits: rarest first."""
-    level = lambda h: F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
-    return F.sort_array(F.transform(F.transform(words, _hashed), lambda h: F.shiftleft(level(h), 57).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
+def _keys(spaced: Column, levels: Column) -> Column:
+    """The hashes of the distinct words with the level of their bucket above 57 of their bits: rarest first.
+
+    Hashes are made distinct, not words: numbers are compared faster, and equal hashes are equal words wherever sets meet.
+    """
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(spaced, " "), _hashed)), _hashed(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(levels, F.shiftrightunsigned(h, 64 - BUCKET_BITS)).bitwiseOR(h.bitwiseAND(F.lit((1 << 57) - 1)))))
+
+
+def _flips(keys: Column, of: range) -> Column:
+    """A bitmap in which each key of these 128 classes has flipped a bit."""
+    bits = F.array(*(F.lit(((1 << (k & 63)) ^ (1 << 63)) - (1 << 63) if k in of else 0).cast("long") for k in range(128)))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.get(bits, k.bitwiseAND(F.lit(127)))))
 
 
 def _lines(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """A row per line with words: its set's hash, size, bitmap and prefix keys. The words are made once, in what is exploded."""
+    """A row per line with words: its set's hash, size, bitmap and prefix keys. The keys are made once, as what is exploded, outside of any lambda: so the functions around _keys' two lambdas are compiled."""
     levels = _levels(docs)
-    made = F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: _keys(_distinct(line), levels))
-    rows = docs.select("doc_id", "text_hash", F.posexplode(made).alias("line_no", "keys"))
+    rows = docs.select("doc_id", "text_hash", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "text_hash", "line_no", F.explode(F.array(_keys(F.col("line"), levels))).alias("keys"))
     rows = rows.withColumn("n", F.size("keys")).where("n > 0")
-    folded = lambda of: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(of(k)))
     # Every word flips one of 64 bits, so that sets that differ in d words differ in at most d bits; of many words those with a seventh bit, too.
-    bit = lambda k: k.bitwiseAND(F.lit(63)).cast("int")
-    low = folded(lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), bit(k)))
-    high = F.when(F.col("n") >= MANY, folded(lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long")), bit(k)))).otherwise(F.lit(0).cast("long"))
+    low, high = _flips(F.col("keys"), range(128)), F.when(F.col("n") >= MANY, _flips(F.col("keys"), range(64, 128))).otherwise(F.lit(0).cast("long"))
     least = F.floor((num * F.col("n") + den - 1) / den).cast("int")
     # The nearest that another set comes to one of n words is n / (n + 1).
     prefix = F.when((den - num) * F.col("n") >= num, F.slice("keys", F.lit(1), F.col("n") - least + 1))
@@ -115,7 +122,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, de
     return found
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, parts: int = PARTS) -> DataFrame:
     """doc_id, text_hash and gone: the sorted places of the lines that go, for documents that lose some."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     full = cut(_lines(docs, num, den), "lines")
@@ -123,25 +130,32 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = cut(full.select("doc_id", "text_hash", "line_no", "set_id"), "lines")
     drop(full)
     lone = F.lit(-(1 << 63)).cast("long")
-    side = ("doc", "line_no", "set_id", "n", "place", "low", "high")
+    side = ("doc", "at", "set_id", "sizes", "low", "high")
 
-    def held(sets: DataFrame, part: Column, *more: str) -> DataFrame:
-        """A row per set and key of this part."""
-        some = sets.select("set_id", "first", *more, F.posexplode("first.keys").alias("place", "key")).where(part)
+    def held(sets: DataFrame, part: Column, is_open: Column) -> DataFrame:
+        """A row per set and key of this part. at is the line's number and whether the set is open, sizes the number of words and the key's place."""
+        some = sets.select("set_id", "first", is_open.alias("open"), F.posexplode("first.keys").alias("place", "key")).where(part)
         some = some.where(F.shiftright("key", 57) > -64)  # a word of the lowest level occurs once, so in one set
-        return some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), "first.line_no", "set_id", "first.n", "place", "first.low", "first.high", F.get("first.keys", F.col("place") - 1).alias("prior"), *more)
+        at = F.col("first.line_no").cast("long") * 2 + F.col("open")
+        sizes = F.shiftleft(F.col("first.n").cast("long"), 32).bitwiseOR(F.col("place").cast("long"))
+        return some.select("key", F.coalesce("first.doc_id", lone).alias("doc"), at.alias("at"), "set_id", sizes.alias("sizes"), "first.low", "first.high", F.get("first.keys", F.col("place") - 1).alias("prior"))
+
+    def words(x: Callable[[str], Column]) -> Column:
+        return F.shiftright(x("sizes"), 32)
+
+    def place(x: Callable[[str], Column]) -> Column:
+        return x("sizes").bitwiseAND(F.lit((1 << 32) - 1))
 
     def near(a: Callable[[str], Column], b: Callable[[str], Column], before_key: Column | int) -> Column:
         """Whether a, that shares a key with b, is earlier and may match it, where so many words before the key may be shared."""
-        must = F.floor((num * (a("n") + b("n")) + num + den - 1) / (num + den))
-        rest = F.least(a("n") - a("place"), b("n") - b("place")) + before_key
-        same_doc, same_line = a("doc") == b("doc"), a("line_no") == b("line_no")
-        before = (a("doc") < b("doc")) | (same_doc & (a("line_no") < b("line_no"))) | (same_doc & same_line & (a("set_id") < b("set_id")))
-        sized = (den * a("n") >= num * b("n")) & (den * b("n") >= num * a("n"))
+        both = words(a) + words(b)  # of these a match shares num / (num + den) at least, and differs in what is left
+        rest = F.least(words(a) - place(a), words(b) - place(b)) + before_key
+        same_doc, same_line = a("doc") == b("doc"), F.shiftright(a("at"), 1) == F.shiftright(b("at"), 1)
+        before = (a("doc") < b("doc")) | (same_doc & (F.shiftright(a("at"), 1) < F.shiftright(b("at"), 1))) | (same_doc & same_line & (a("set_id") < b("set_id")))
+        sized = (den * words(a) >= num * words(b)) & (den * words(b) >= num * words(a))
         low, high = a("low").bitwiseXOR(b("low")), a("high").bitwiseXOR(b("high"))
-        differ = F.when((a("n") >= MANY) & (b("n") >= MANY), F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high)).otherwise(F.bit_count(low))
-        bits = differ <= a("n") + b("n") - 2 * must
-        return before & sized & bits & (rest >= must)
+        differ = F.when((words(a) >= MANY) & (words(b) >= MANY), F.bit_count(low.bitwiseXOR(high)) + F.bit_count(high)).otherwise(F.bit_count(low))
+        return before & ((num + den) * differ <= (den - num) * both) & ((num + den) * rest >= num * both) & sized
 
     def of(side: str) -> Callable[[str], Column]:
         return lambda name: F.col(f"{side}.{name}")
@@ -156,23 +170,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         turned = F.call_function("shiftleft", F.col("low"), by).bitwiseOR(F.call_function("shiftrightunsigned", F.col("low"), 64 - by))
         # The rarest keys of a copy are its own changes, so keys are taken from the last one on, evenly.
         step = F.ceil(F.size("first.keys") / FEW)
-        rows = held(firsts, F.pmod(F.size("first.keys") - 1 - F.col("place"), step) == 0).withColumn("turned", turned).withColumn("cell", F.shiftright("turned", 60))
+        rows = held(firsts, F.pmod(F.size("first.keys") - 1 - F.col("place"), step) == 0, F.lit(1)).withColumn("turned", turned).withColumn("cell", F.shiftright("turned", 60))
         cell = Window.partitionBy("key", "cell").orderBy("turned")
         whole = cell.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         beside = [F.lag(F.struct(*side), k).over(cell).alias(f"beside{k}") for k in range(1, AMID + 1)]
         rows = rows.select(F.struct(*side).alias("x"), F.min(F.struct(*side)).over(whole).alias("first"), F.count("*").over(whole).alias("sets"), *beside).where("sets > 1")
         few, many = (F.array("first", *(f"beside{k}" for k in range(1, n + 1))) for n in (BESIDE, AMID))
         met = rows.select("x", F.explode(F.when(F.col("sets") < CROWD, few).otherwise(many)).alias("y"))
-        shared = F.least("x.place", "y.place")
+        shared = F.least(place(of("x")), place(of("y")))
         forth, back = near(of("x"), of("y"), shared), near(of("y"), of("x"), shared)
         pairs = met.select(F.when(forth, F.struct(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))).when(back, F.struct(F.col("y.set_id").alias("a"), F.col("x.set_id").alias("b"))).alias("pair"))
         return pairs.where("pair IS NOT NULL").select("pair.a", "pair.b").distinct()
 
     def others(part: Column, sets: DataFrame) -> DataFrame:
         """All earlier sets that share a key of this part and may match, for sets without a match so far; pairs at the first key that they share."""
-        rows = held(sets, part, "open")
+        rows = held(sets, part, F.col("open"))
         # What is said of b names a, too, so that both sides have the same rows and are shuffled once.
-        is_open = of("b")("open") * (of("a")("n") + of("a")("open")) > 0
+        is_open = of("b")("at").bitwiseAND(F.lit(1)) * (of("a")("at") + 1) > 0
         first_shared = F.coalesce(of("a")("prior") != of("b")("prior"), F.lit(True))
         may = (F.col("a.key") == F.col("b.key")) & is_open & first_shared & near(of("a"), of("b"), 0)
         return rows.alias("a").join(rows.alias("b"), may).select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"))
@@ -188,10 +202,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         firsts = sets
         drop(before)
     # Keys are met in parts, one after another, so that shuffles on disk at once hold one part only.
-    parts = [cut(others(F.pmod("key", F.lit(PARTS)) == part, sets), "line-pairs") for part in range(PARTS)]
-    pairs = cut(reduce(DataFrame.unionByName, parts).distinct(), "line-pairs")
+    met = [cut(others(F.pmod("key", F.lit(parts)) == part, sets), "line-pairs") for part in range(parts)]
+    pairs = cut(reduce(DataFrame.unionByName, met).distinct(), "line-pairs")
     late = _verified(pairs, firsts, docs, num, den)
-    drop(pairs, *parts)
+    drop(pairs, *met)
     # Of a set that matched an earlier one all lines go, of any other all but the first.
     gone_sets = found.unionByName(late).withColumn("whole", F.lit(True))
     judged = firsts.select("set_id", "first.doc_id", "first.line_no", "first.text_hash", "copies").join(gone_sets, "set_id", "left").where((F.col("copies") > 1) | F.col("whole"))
